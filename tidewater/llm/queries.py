@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
+from .bpe import count_tokens
+from .chat import format_chats
 from .decontaminate import decontaminate
+from .langid import identify_languages
 from .license_scan import TEMPLATES, license_scan
+from .near_dup import near_duplicates
+from .packing import pack
+from .quality import classify_quality
+from .toxicity import classify_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +30,49 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("text_md5")
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
+    "op3_token_counts": op3_token_counts,
+    "op4_pack": op4_pack,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_nearest": op6_nearest,
+    "op7_format_chats": op7_format_chats,
+    "op8_languages": op8_languages,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -65,7 +113,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_CHATS = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT conv_id, n, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY n) OVER (PARTITION BY conv_id ORDER BY n) AS said,
+  string_agg(length(role) || ':' || length(text) || ':', '' ORDER BY n) OVER (PARTITION BY conv_id ORDER BY n) AS shape, count(*) OVER (PARTITION BY conv_id) AS of FROM t),
+f AS (SELECT min(conv_id) AS conv_id, n, said, shape FROM p WHERE n = of GROUP BY n, said, shape)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, CAST(length(said) AS BIGINT) AS n_chars, said AS rendered FROM f
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n < p.of AND p.n = f.n AND p.said = f.said AND p.shape = f.shape)
+"""
+
 SQL: dict[str, str] = {
+    "op7_format_chats": _CHATS,
     "op1_license_scan": _license_sql(),
     "op2_decontaminate": _DECONTAMINATE,
 }
