@@ -181,7 +181,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
         ask = ids % every == 0
         q, q_ids = x[ask], ids[ask]
         if not len(q):
-            return pd.DataFrame({"query_id": [], "near": [], "scores": []})
+            return pd.DataFrame(columns=["query_id", "cell", "part", "q", "near", "scores"], dtype=object)
         i, found, score = search_block(ids, x, project(x), q_ids, q, q @ matrix[:-1], np.full(len(q), np.inf), top2, k, limit)
         at = np.searchsorted(i, np.arange(len(q) + 1))
         return pd.DataFrame({"query_id": q_ids, "cell": batch["cell"].iloc[0], "part": batch["part"].iloc[0], "q": list(q), "near": [found[a:b] for a, b in zip(at, at[1:])], "scores": [score[a:b] for a, b in zip(at, at[1:])]})
@@ -207,7 +207,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
             cell = np.repeat(numbers[j], held[j])
             own = (cell == b["cell"].to_numpy()[i]) & (part == b["part"].to_numpy()[i])
             i, cell, part = i[~own], cell[~own], part[~own]
-            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[i], "q": [q[v] for v in i], "bound": bound[i], "from_cell": b["cell"].to_numpy()[i], "from_part": b["part"].to_numpy()[i], "cell": cell, "part": part})
+            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[i], "q": pd.Series([q[v] for v in i], dtype=object), "bound": bound[i], "from_cell": b["cell"].to_numpy()[i], "from_part": b["part"].to_numpy()[i], "cell": cell, "part": part})
 
     routed = settle(started.mapInPandas(route, "query_id long, q array<double>, bound double, from_cell int, from_part int, cell int, part int"))
     wanted = routed.select("from_cell", "from_part", "cell", "part").distinct()
@@ -215,7 +215,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
 
     def away(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(block):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame(columns=["query_id", "vec_id", "score"], dtype=object)
         x, q, q_ids = stack(block["x"]), stack(asked["q"]), asked["query_id"].to_numpy()
         i, found, score = search_block(block["id"].to_numpy(), x, project(x), q_ids, q, q @ matrix[:-1], asked["bound"].to_numpy(), top2, k, limit)
         return pd.DataFrame({"query_id": q_ids[i], "vec_id": found, "score": score})

@@ -4,7 +4,8 @@ Documents become pieces of at most `capacity` tokens. What matters of the pieces
 length: at most `capacity` numbers, whatever the size of the corpus. Over this histogram the configuration program
 (how often to use each way of filling a sequence) is solved approximately by multiplicative weights: lengths not yet
 covered weigh more, and the best configuration under the weights is found by a knapsack dynamic program. Its
-solution is rounded down, and what is left over is packed best fit first, again over the histogram.
+solution is rounded down at several scales, and what is left over is packed best fit first, again over the histogram;
+the scale that needs the fewest sequences is taken.
 
 The plan is then applied on Spark: the pieces of a length are numbered within salted groups, and a number gives the
 sequence and the place in it.
@@ -28,7 +29,9 @@ from .common import settle
 #: Groups into which the pieces of one length are dealt before they are numbered.
 SALTS = 256
 #: Rounds of multiplicative weights, the weights' rate, and the share of the tightest length that a round covers.
-ROUNDS, RATE, STEP = 300, 4.0, 0.02
+ROUNDS, RATE, STEP = 300, 10.0, 0.02
+#: The program's solution is rounded down at several scales, as what is left over packs better if there is more of it.
+SCALES = (1.0, 0.95, 0.85, 0.7, 0.5, 0.0)
 
 
 # --- documents to pieces -------------------------------------------------------------------------------------------
@@ -153,12 +156,18 @@ def solve(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
             continue
         covered += a * times
         used[a.tobytes()] = used.get(a.tobytes(), 0.0) + times
-    for key, times in used.items():
-        a, n = np.frombuffer(key, dtype=np.int64), int(times)
-        if n:
+    solution = [(np.frombuffer(key, dtype=np.int64), times) for key, times in used.items()]
+    rounded = [_round(solution, scale, left, capacity) for scale in SCALES]
+    return plan + min(rounded, key=lambda r: sum(times for _, times in r))
+
+
+def _round(solution: list[tuple[np.ndarray, float]], scale: float, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """The solution, scaled and rounded down, and the rest packed best fit first."""
+    plan, left = [], left.copy()
+    for a, times in solution:
+        if n := int(times * scale):
             plan.append((a, n))
             left -= a * n
-    assert (left >= 0).all()
     return plan + best_fit(left, capacity)
 
 
