@@ -15,19 +15,23 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import LONGEST, REMEMBER, apart, small_batches, vocabulary_path
+from .bpe import LONGEST, apart, small_batches, vocabulary_path
 from .common import settle
 
 #: Groups into which the pieces of one length are dealt before they are numbered.
 SALTS = 256
+#: Parts of texts whose ids a Python worker remembers (about 250 MB).
+REMEMBER = 1_000_000
 #: Rounds of multiplicative weights, the weights' rate, and the share of the tightest length that a round covers.
 ROUNDS, RATE, STEP = 300, 10.0, 0.02
 #: The program's solution is rounded down at several scales, as what is left over packs better if there is more of it.
@@ -49,14 +53,15 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [None if any(s in t for s in self.special) else apart(t) for t in texts]
         whole = iter(self.encode([t if parts is None else parts[0] for t, parts in zip(texts, cut)]))
         if len(self.known) > REMEMBER:
-            self.known.clear()
+            for p in list(islice(self.known, REMEMBER // 2)):  # the older half
+                del self.known[p]
         new = list({p for parts in cut if parts for p in parts[1:]}.difference(self.known))
         known = self.known
         for at in range(0, len(new), 20_000):
