@@ -59,7 +59,8 @@ def test_reverse_and_shorts():
 
 def test_resting_orders_and_one_trade_a_day():
     d = frame([FLAT, (100, 103, 100, 102, 0.0), (102, 102, 97, 98, 0.0), (98, 104, 98, 104, 0.0)], long_stop=101.0, stop_dist=2.0)
-    assert [t[5] for t in simulate(d, FREE)[0]] == [101, 101]
+    # bar 2 opens above the order: it stops the first trade at 99 and, being flat again, fills the order at its own open
+    assert [(t[1], t[2], t[5], t[6]) for t in simulate(d, FREE)[0]] == [(1, 2, 101, 99), (2, 3, 102, 100), (3, 3, 101, 104)]
     assert [t[5] for t in simulate(d, Rules(commission=0.0, slippage_ticks=0.0, one_trade_per_day=True))[0]] == [101]
 
 
