@@ -9,7 +9,7 @@ from tidewater.llm.chat import format_chats
 from tidewater.llm.common import words_of
 from tidewater.llm.decontaminate import decontaminate, drop_contaminated
 from tidewater.llm.license_scan import Template, license_scan
-from tidewater.llm.near_dup import components, keep_one, near_duplicates
+from tidewater.llm.near_dup import components, document_frequencies, idf_of, keep_one, near_duplicates, shingles, similarity
 
 from .helpers import DOCS, awkward, prose, table
 
@@ -122,6 +122,39 @@ def test_near_duplicates_awkward_tables(spark):
     assert near_duplicates(table(spark, [])).count() == 0 and keep_one(table(spark, [])).count() == 0
 
 
+def brute_classes(spark, texts, threshold=0.8):
+    """The smallest place of each text's class, from all pairs of unlike texts."""
+    n, df = document_frequencies(table(spark, texts).select(F.col("text").alias("_t")))
+    own, idf = sorted(set(texts)), idf_of(n, df)
+    sets, root = [shingles([t])[:2] for t in own], list(range(len(own)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(own)), 2):
+        if similarity(sets[i], sets[j], idf) >= threshold:
+            root[top(i)] = top(j)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(top(own.index(t)), i)
+    return {i: first[top(own.index(t))] for i, t in enumerate(texts)}
+
+
+def edited(words, tag, *places):
+    return [f"{tag}at{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_near_duplicates_of_a_group_of_a_third(spark):
+    hub = prose(100, 1).split()
+    # a third of the rows; at its rim two separate words differ (TF similarity 0.81, TF-IDF similarity near 0.57)
+    texts = [" ".join(hub)] * 260 + [" ".join(edited(hub, f"new{k}", 20 + k % 20, 60 + k % 20)) for k in range(40)]
+    texts += [prose(40, 100 + k) for k in range(600)]
+    rows = near_duplicates(table(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(spark, texts)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (7, 6), (7, 8), (8, 9), (9, 10), (10, 11), (20, 20)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a int, b int")).collect()))
