@@ -155,6 +155,15 @@ def test_near_duplicates_of_a_group_of_a_third(spark):
     assert {r.doc_id: r.class_id for r in rows} == brute_classes(spark, texts)
 
 
+def test_classes_that_share_an_id_stay_apart(spark):
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    docs = table(spark, [(None, a), (None, b), (None, b), (None, c), (7, prose(60, 4)), (7, prose(60, 5)), (8, prose(60, 5)), (9, c)])
+    rows = near_duplicates(docs).collect()
+    assert len({r.class_md5 for r in rows}) == 5 and len({(r.class_md5, r.class_id) for r in rows}) == 5
+    kept = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (9, c), (7, prose(60, 4)), (7, prose(60, 5))], key=str)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (7, 6), (7, 8), (8, 9), (9, 10), (10, 11), (20, 20)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a int, b int")).collect()))
