@@ -155,6 +155,16 @@ def test_near_duplicates_of_a_group_of_a_third(spark):
     assert {r.doc_id: r.class_id for r in rows} == brute_classes(spark, texts)
 
 
+def test_near_duplicates_by_way_of_a_member(spark):
+    texts = []
+    for g in range(8):  # a group that differs in its last words; x lacks these; y lacks the first words too and is like x only
+        hub = prose(200, g).split()
+        texts += [" ".join(edited(hub, f"new{k}", 180 + k % 20)) for k in range(40)]
+        texts += [" ".join(hub[:180]), " ".join(hub[25:180])]
+    rows = near_duplicates(table(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(spark, texts)
+
+
 def test_classes_that_share_an_id_stay_apart(spark):
     a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
     docs = table(spark, [(None, a), (None, b), (None, b), (None, c), (7, prose(60, 4)), (7, prose(60, 5)), (8, prose(60, 5)), (9, c)])
