@@ -89,6 +89,26 @@ def test_nearest_neighbours(spark):
     assert len(few) == 3 and nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark, monkeypatch):
+    from tidewater.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK", 256)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 8))
+    x[1] = 4 * x[0] / np.linalg.norm(x[0])  # near query 0
+    x[41:44] = 3 * x[40] / np.linalg.norm(x[40])
+    ids = [*range(600), *[1] * 30, *[41] * 2, *[60] * 300]  # rows that repeat an id and its vector, a query's too
+    docs = spark.createDataFrame([(i, x[i].tolist()) for i in ids], "vec_id long, embedding array<double>").repartition(3)
+    got = nearest(docs).toPandas()
+    assert sorted(got.query_id.unique()) == list(range(0, 600, 20)) and (got.groupby("query_id").size() == 20).all()
+    found = 0
+    for q, g in got.groupby("query_id"):
+        want = sorted((-round(float(x[i] @ x[q]), 6), i) for i in ids if i != q)[:20]
+        mine = [(-round(s, 6), i) for s, i in zip(g.score, g.vec_id)]
+        found += sum(min(want.count(w), mine.count(w)) for w in set(want))
+    assert found >= 0.97 * len(got)
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(2)
     length, k = np.array([5, 3, 1]), 3

@@ -96,7 +96,7 @@ def _leaves(points: np.ndarray) -> list[np.ndarray]:
 
 
 def search_block(ids, x, p, q_ids, q, q_p, bound, top2, k, limit):
-    """The k best of a block for each query, if not beyond its bound (a squared distance): query row, id, score."""
+    """The k best of a block for each query, if not beyond its bound (a squared distance): query row, block row, score."""
     leaves = _leaves(p)
     size = max(map(len, leaves))
     member = np.full((len(leaves), size), -1)
@@ -110,7 +110,7 @@ def search_block(ids, x, p, q_ids, q, q_p, bound, top2, k, limit):
         order = far.argsort(1, kind="stable")
         far = np.take_along_axis(far, order, 1)
         best = np.full((len(qa), k), -np.inf)
-        best_id = np.full((len(qa), k), np.iinfo(np.int64).max)
+        best_row = np.full((len(qa), k), -1)
         radius = bound[a : a + 256].copy()
         for step in range(len(leaves)):
             act = np.flatnonzero(far[:, step] <= limit * np.maximum(radius, 1e-12))
@@ -118,15 +118,14 @@ def search_block(ids, x, p, q_ids, q, q_p, bound, top2, k, limit):
                 break
             rows = member[order[act, step]]
             score = (x[rows] * qa[act, None, :]).sum(-1)
-            found_id = ids[rows]
-            score[(rows < 0) | (found_id == q_ids[a + act][:, None])] = -np.inf
-            score, found_id = np.concatenate([best[act], score], 1), np.concatenate([best_id[act], found_id], 1)
-            first = np.lexsort((found_id, -score), axis=1)[:, :k]
-            best[act], best_id[act] = np.take_along_axis(score, first, 1), np.take_along_axis(found_id, first, 1)
+            score[(rows < 0) | (ids[rows] == q_ids[a + act][:, None])] = -np.inf
+            score, rows = np.concatenate([best[act], score], 1), np.concatenate([best_row[act], rows], 1)
+            first = np.lexsort((ids[rows], -score), axis=1)[:, :k]
+            best[act], best_row[act] = np.take_along_axis(score, first, 1), np.take_along_axis(rows, first, 1)
             radius[act] = np.minimum(radius[act], np.maximum(base[act] - 2 * best[act, -1], 0))
         good = np.isfinite(best) & (base[:, None] - 2 * best <= bound[a : a + 256, None] + 1e-9)
         i, j = np.nonzero(good)
-        found.append((a + i, best_id[i, j], best[i, j]))
+        found.append((a + i, best_row[i, j], best[i, j]))
     return [np.concatenate(c) for c in zip(*found)]
 
 
@@ -139,8 +138,8 @@ def usable(vec: Column) -> Column:
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, confidence: float = 0.99, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every`, the k nearest found of all others.
 
-    Ties go to the smaller id; rows that repeat an id are points of their own, but never neighbours of a query of that
-    id. Null, zero and non-finite vectors take no part, nor do null ids, nor vectors of another length than the most
+    Ties go to the smaller id; rows that repeat an id, or an id and its vector, are points of their own, but never
+    neighbours of a query of that id. A query id of several vectors gets the rows nearest to any of them. Null, zero and non-finite vectors take no part, nor do null ids, nor vectors of another length than the most
     common one (the longer of two equally common). A query gets fewer than k rows only if fewer others exist. An empty
     table gives an empty table. Other columns are not read.
     """
@@ -162,7 +161,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
     def stack(c: pd.Series) -> np.ndarray:
         return np.stack(c.to_numpy()) if len(c) else np.zeros((0, d))
 
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).toPandas()
+    # a key for each row, as an id and its vector may repeat
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, n // SAMPLE))) == 0).select("x").toPandas()
     cells = min(CELLS, max(1, math.ceil(n / (BLOCK // 2))))
     top = Split(project(stack(sample["x"])), cells) if len(sample) else Split(np.zeros((0, dims)), 1)
 
@@ -173,20 +174,25 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
     dealt = settle(rows.withColumn("cell", cell_of("x")))
     counts = {r["cell"]: r["count"] for r in dealt.groupBy("cell").count().collect()}  # at most CELLS
     parts = F.create_map(*[F.lit(v) for c, m in counts.items() for v in (c, math.ceil(m / BLOCK))])
-    blocks = dealt.withColumn("part", F.pmod(F.xxhash64("id", "x"), parts[F.col("cell")]).cast("int"))
+    blocks = dealt.withColumn("part", F.pmod(F.xxhash64("row"), parts[F.col("cell")]).cast("int"))
 
     # --- each query in its own block
     def home(batch: pd.DataFrame) -> pd.DataFrame:
-        ids, x = batch["id"].to_numpy(), stack(batch["x"])
-        ask = ids % every == 0
+        ids, keys, x = batch["id"].to_numpy(), batch["row"].to_numpy(), stack(batch["x"])
+        ask = np.flatnonzero(ids % every == 0)
+        # equal rows ask once
+        ask = np.array(list({(ids[r], x[r].tobytes()): r for r in ask[::-1]}.values())[::-1], dtype=np.int64)
         q, q_ids = x[ask], ids[ask]
         if not len(q):
-            return pd.DataFrame(columns=["query_id", "cell", "part", "q", "near", "scores"], dtype=object)
-        i, found, score = search_block(ids, x, project(x), q_ids, q, q @ matrix[:-1], np.full(len(q), np.inf), top2, k, limit)
+            return pd.DataFrame(columns=["query_id", "cell", "part", "q", "near", "keys", "scores"], dtype=object)
+        i, at_row, score = search_block(ids, x, project(x), q_ids, q, q @ matrix[:-1], np.full(len(q), np.inf), top2, k, limit)
         at = np.searchsorted(i, np.arange(len(q) + 1))
-        return pd.DataFrame({"query_id": q_ids, "cell": batch["cell"].iloc[0], "part": batch["part"].iloc[0], "q": list(q), "near": [found[a:b] for a, b in zip(at, at[1:])], "scores": [score[a:b] for a, b in zip(at, at[1:])]})
+        near, key = ids[at_row], keys[at_row]
+        return pd.DataFrame({"query_id": q_ids, "cell": batch["cell"].iloc[0], "part": batch["part"].iloc[0], "q": list(q), "near": [near[a:b] for a, b in zip(at, at[1:])], "keys": [key[a:b] for a, b in zip(at, at[1:])], "scores": [score[a:b] for a, b in zip(at, at[1:])]})
 
-    started = settle(blocks.groupBy("cell", "part").applyInPandas(home, "query_id long, cell int, part int, q array<double>, near array<long>, scores array<double>"))
+    asked_at = blocks.groupBy("cell", "part").applyInPandas(home, "query_id long, cell int, part int, q array<double>, near array<long>, keys array<long>, scores array<double>")
+    # equal rows of other blocks ask no second time: the one that stays visits these blocks as well
+    started = settle(asked_at.dropDuplicates(["query_id", "q"]))
 
     # --- which other blocks it has to visit
     @F.pandas_udf("array<double>")
@@ -211,21 +217,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
 
     routed = settle(started.mapInPandas(route, "query_id long, q array<double>, bound double, from_cell int, from_part int, cell int, part int"))
     wanted = routed.select("from_cell", "from_part", "cell", "part").distinct()
-    data = blocks.join(wanted, ["cell", "part"]).select(*[F.col(c).alias(f"to_{c}") for c in ("from_cell", "from_part", "cell", "part")], "id", "x")
+    data = blocks.join(wanted, ["cell", "part"]).select(*[F.col(c).alias(f"to_{c}") for c in ("from_cell", "from_part", "cell", "part")], "id", "row", "x")
 
     def away(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(block):
-            return pd.DataFrame(columns=["query_id", "vec_id", "score"], dtype=object)
+            return pd.DataFrame(columns=["query_id", "vec_id", "key", "score"], dtype=object)
         x, q, q_ids = stack(block["x"]), stack(asked["q"]), asked["query_id"].to_numpy()
-        i, found, score = search_block(block["id"].to_numpy(), x, project(x), q_ids, q, q @ matrix[:-1], asked["bound"].to_numpy(), top2, k, limit)
-        return pd.DataFrame({"query_id": q_ids[i], "vec_id": found, "score": score})
+        ids = block["id"].to_numpy()
+        i, at_row, score = search_block(ids, x, project(x), q_ids, q, q @ matrix[:-1], asked["bound"].to_numpy(), top2, k, limit)
+        return pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[at_row], "key": block["row"].to_numpy()[at_row], "score": score})
 
     key = ["from_cell", "from_part", "cell", "part"]
-    seen = routed.groupBy(*key).cogroup(data.groupBy(*[f"to_{c}" for c in key])).applyInPandas(away, "query_id long, vec_id long, score double")
-    own = started.select("query_id", F.explode(F.arrays_zip("near", "scores")).alias("f")).select("query_id", F.col("f.near").alias("vec_id"), F.col("f.scores").alias("score"))
-    # rows that repeat a query's id ask the same question
-    both = own.unionByName(seen).distinct()
+    seen = routed.groupBy(*key).cogroup(data.groupBy(*[f"to_{c}" for c in key])).applyInPandas(away, "query_id long, vec_id long, key long, score double")
+    own = started.select("query_id", F.explode(F.arrays_zip("near", "keys", "scores")).alias("f")).select("query_id", F.col("f.near").alias("vec_id"), F.col("f.keys").alias("key"), F.col("f.scores").alias("score"))
+    # a row that several vectors of one query id found counts once
+    both = own.unionByName(seen).groupBy("query_id", "key", "vec_id").agg(F.max("score").alias("score"))
     nearest_first = [F.desc("score"), F.asc("vec_id")]
-    some = F.row_number().over(Window.partitionBy("query_id", F.pmod("vec_id", F.lit(16))).orderBy(*nearest_first))
+    some = F.row_number().over(Window.partitionBy("query_id", F.pmod(F.xxhash64("key"), F.lit(16))).orderBy(*nearest_first))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*nearest_first))
     return both.withColumn("r", some).where(F.col("r") <= k).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
