@@ -131,6 +131,24 @@ def test_languages_held_out(spark):
     assert identify_languages(awkward(spark)).count() == 9 and identify_languages(table(spark, [])).count() == 0
 
 
+def test_languages_of_text_without_spaces(spark):
+    rng, both = np.random.default_rng(4), [chr(c) for c in range(0x4E00, 0x4E20)]
+    rows = []
+    for i in range(120):  # the first and last characters are the same in both languages
+        own = [chr(c) for c in (range(0x5000, 0x5040) if i % 2 else range(0x6000, 0x6040))]
+        rows.append((i, "".join([*both, *both, *rng.choice(own, 300), *both]), "zh" if i % 2 else "ja"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert len(got) > 20 and (got.lang == got.lang_pred).all()
+
+
+def test_each_language_has_its_share_of_training_words(spark):
+    rows = [(i, " ".join(["alpha", "beta", "gamma"] * 200), "big") for i in range(60)] + [(60 + i, "delta epsilon " * 10, "small") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify_languages(docs, words_each=300).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got.lang == got.lang_pred).all()
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int, text string")
 

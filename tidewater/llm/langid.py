@@ -1,6 +1,7 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
-Every word has a label. Its features are affixes of one to three characters, character n-grams and the word itself (the
+Every word has a label; a word of more than PIECE characters, as in text without spaces, is cut into consecutive tokens
+of that length, each with a label, which share two characters so that no n-gram is lost. A word's features are affixes of one to three characters, character n-grams and the word itself (the
 lexicon), hashed; between neighbouring words there are learned transitions. Forward-backward gives each word's label
 probabilities. A document's language is the label with the largest sum of them.
 
@@ -24,17 +25,24 @@ from .common import words_of
 from .quality import fold
 
 BITS = 18
-#: Labelled documents of each language, and words of all, that the model is trained on at most.
-TRAINING_DOCS, TRAINING_WORDS, EPOCHS = 300, 200_000, 4
+#: Labelled documents of each language, and words of each, that the model is trained on at most.
+TRAINING_DOCS, TRAINING_WORDS, EPOCHS = 300, 50_000, 4
+#: Characters of a token at most.
+PIECE = 40
 #: Words whose scores a worker remembers; words that are labelled together; words of a long text.
 REMEMBER, TOGETHER, LONG = 400_000, 600_000, 1500
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """The words of a text, long ones in pieces that overlap by two characters and cover the whole word."""
+    return [w[a : a + PIECE] for w in words_of(text) for a in range(0, max(len(w) - 2, 1), PIECE - 2)]
+
+
 def word_features(word: str) -> list[int]:
     w = f"^{word}$"
     parts = [f"W{word}"]
     parts += [f"P{word[:n]}" for n in (1, 2, 3)] + [f"S{word[-n:]}" for n in (1, 2, 3)]
-    parts += [w[i : i + 2] for i in range(min(len(w) - 1, 40))] + [w[i : i + 3] for i in range(min(len(w) - 2, 40))]
+    parts += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
     return [xxhash.xxh3_64_intdigest(p) >> (64 - BITS) for p in parts]
 
 
@@ -71,8 +79,9 @@ def forward_backward(score: np.ndarray, start: np.ndarray, length: np.ndarray, t
     return p / p.sum(1, keepdims=True)
 
 
-def train(texts: list[list[str]], langs: list[str], seed: int = 8) -> Crf:
-    """texts: words of documents; langs: their labels. Adaptive gradient ascent of the likelihood."""
+def train(texts: list[list[str]], langs: list[str], seed: int = 8, words_each: int = TRAINING_WORDS) -> Crf:
+    """texts: words of documents; langs: their labels. Adaptive gradient ascent of the likelihood. Of each language
+    shuffled pieces are taken until they have words_each words."""
     labels = sorted(set(langs))
     crf = Crf(labels, np.zeros((1 << BITS, len(labels)), dtype=np.float32), np.zeros((len(labels), len(labels))))
     if len(labels) < 2:
@@ -86,11 +95,11 @@ def train(texts: list[list[str]], langs: list[str], seed: int = 8) -> Crf:
             pieces.append((ws[at : at + n], labels.index(lang)))
             at += n
     rng.shuffle(pieces)
-    total, kept = 0, []
+    total, kept = [0] * len(labels), []
     for p in pieces:
-        if total < TRAINING_WORDS:
+        if total[p[1]] < words_each:
             kept.append(p)
-            total += len(p[0])
+            total[p[1]] += len(p[0])
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws, _ in kept for w in ws}))}
     lists = [word_features(w) for w in vocabulary]
     flat, first = np.concatenate([np.array(f) for f in lists]), np.cumsum([0, *map(len, lists)])
@@ -136,7 +145,7 @@ def train(texts: list[list[str]], langs: list[str], seed: int = 8) -> Crf:
     return crf
 
 
-def fit_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_each: int = TRAINING_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
+def fit_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_each: int = TRAINING_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", words_each: int = TRAINING_WORDS) -> Crf:
     """Trained on a bounded sample of documents outside the held-out fold, chosen by a hash of the id."""
     known = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("_id"), folds) != held_out))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -145,7 +154,7 @@ def fit_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_each:
     slots = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, max(1, n // docs_each))])
     # about docs_each documents of each language: those whose hash falls in one slot of n // docs_each
     some = known.where(F.pmod(F.xxhash64("_id"), slots[F.col("lang")]) == 0).orderBy(F.xxhash64("_id", F.lit("crf")), "_id", "text").limit(docs_each * len(counts)).select("text", "lang").toPandas()
-    return train([words_of(t) for t in some["text"]], some["lang"].tolist())
+    return train([tokens_of(t) for t in some["text"]], some["lang"].tolist(), words_each=words_each)
 
 
 def label_languages(texts: DataFrame, crf: Crf) -> DataFrame:
@@ -176,7 +185,7 @@ def label_languages(texts: DataFrame, crf: Crf) -> DataFrame:
         for batch in batches:
             plain = []
             for key, text, held in zip(batch["_id"], batch["_t"], batch["held_out"]):
-                ws = words_of(text) if k and text and any(map(str.isalpha, text)) else []
+                ws = tokens_of(text) if k and text and any(map(str.isalpha, text)) else []
                 if not ws:
                     plain.append((key, held, "und", 0.0))
                     continue
@@ -208,15 +217,15 @@ def label_languages(texts: DataFrame, crf: Crf) -> DataFrame:
     return texts.mapInPandas(run, "_id string, held_out boolean, lang_pred string, score double")
 
 
-def identify_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = TRAINING_DOCS) -> DataFrame:
+def identify_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = TRAINING_DOCS, words_each: int = TRAINING_WORDS) -> DataFrame:
     """One row for each row of docs: id, held_out, lang_pred, score (mean probability of that label over the words).
 
     Learned from text and non-null lang of documents outside the held-out fold (crc32 of the id as text, modulo
-    folds), `docs_each` documents of each language at most; predictions read only the whole text. Null texts, texts
+    folds), `docs_each` documents and about `words_each` words of each language at most; predictions read only the whole text. Null texts, texts
     without a letter, and all texts where nothing could be learned are `und` with score 0. Rows that repeat an id
     stay. Other columns are not read. No shuffle after training.
     """
-    crf = fit_languages(docs, folds, held_out, docs_each, id_col, text_col, lang_col)
+    crf = fit_languages(docs, folds, held_out, docs_each, id_col, text_col, lang_col, words_each)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = small_batches(docs).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_t"), (fold(F.col(id_col), folds) == held_out).alias("held_out"))
     return label_languages(texts, crf).select(F.col("_id").cast(kind).alias(id_col), "held_out", "lang_pred", "score")
