@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: White space by Unicode, and the pre-token pattern that the vocabulary was made with.
 WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -129,12 +131,6 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Texts may be long: fewer rows in each Arrow batch than Spark's default keep a worker's memory small."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -151,5 +147,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, id_
             yield pd.Series([count(t) for t in batch], dtype="int64")
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = small_batches(docs).select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(text).alias("n_tokens"))
+    out = bounded_batches(docs).select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(text).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

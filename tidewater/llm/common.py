@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,19 +27,59 @@ def words(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session that names none (tests)
+    gets a temporary one; on a cluster each machine would write to a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
+
+
+class Scratch:
+    """Tables that one operator writes in the shared folder. Later work starts from files that outlive any executor."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        """Write df and read it back. keep: the operator's result reads it, so it stays."""
+        path = f"{shared_folder(self.spark)}/tidewater-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if not keep:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the tables that no result reads."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write df as a table in the folder that all executors share, and read it back.
-
-    Later work starts from files that outlive any executor. The folder is spark.checkpoint.dir; where a session
-    names none (tests), a temporary one is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
-    path = f"{(base or sc.getCheckpointDir()).rstrip('/')}/tidewater-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder, and read it back."""
+    return Scratch(df.sparkSession).settle(df, keep=True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not: name, or name with underscores."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded_batches(df: DataFrame, size: str = "4m") -> DataFrame:
+    """Texts may be long: Arrow batches of few bytes keep a Python worker's memory small. Spark reads this setting of
+    the session when a query runs and has none for a single query, so it stays set."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

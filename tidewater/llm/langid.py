@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import small_batches
-from .common import words_of
+from .common import bounded_batches, words_of
 from .quality import fold
 
 BITS = 18
@@ -227,5 +226,5 @@ def identify_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, id_co
     """
     crf = fit_languages(docs, folds, held_out, docs_each, id_col, text_col, lang_col, words_each)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = small_batches(docs).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_t"), (fold(F.col(id_col), folds) == held_out).alias("held_out"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_t"), (fold(F.col(id_col), folds) == held_out).alias("held_out"))
     return label_languages(texts, crf).select(F.col("_id").cast(kind).alias(id_col), "held_out", "lang_pred", "score")

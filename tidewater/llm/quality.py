@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import small_batches
+from .common import bounded_batches
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "punctuation", "exclaim", "bar", "symbols", "digits", "non_ascii",
@@ -160,7 +160,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
         for b in batches:
             yield pd.DataFrame({"x": [features(t) for t in b["text"]], "y": b["y"]})
 
-    found = small_batches(labelled(docs, labels, label, folds, held_out, rows, id_col, text_col)).mapInPandas(run, "x array<double>, y int").toPandas()
+    found = bounded_batches(labelled(docs, labels, label, folds, held_out, rows, id_col, text_col)).mapInPandas(run, "x array<double>, y int").toPandas()
     x = np.stack(found["x"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
     order = np.lexsort(x.T) if len(x) else []  # sums do not depend on the order of arrival
     return AdditiveModel(x[order], found["y"].to_numpy(dtype=float)[order])
@@ -186,11 +186,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     one kind only it is near that label. Rows that repeat an id stay. Other columns are not read.
     """
     model = fit_quality(docs, labels, folds=folds, held_out=held_out, rows=rows, id_col=id_col, text_col=text_col)
-    out = small_batches(docs).select(F.col(id_col), (fold(F.col(id_col), folds) == held_out).alias("held_out"), quality_score(docs, model, text_col).alias("score"))
+    out = bounded_batches(docs).select(F.col(id_col), (fold(F.col(id_col), folds) == held_out).alias("held_out"), quality_score(docs, model, text_col).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """The rows of docs of that score at least, with all their columns."""
     model = fit_quality(docs, labels, **options)
-    return small_batches(docs).where(quality_score(docs, model, options.get("text_col", "text")) >= threshold)
+    return bounded_batches(docs).where(quality_score(docs, model, options.get("text_col", "text")) >= threshold)

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, small_batches
-from .common import words, words_of
+from .bpe import Remembered
+from .common import bounded_batches, words, words_of
 from .quality import fold, labelled
 
 #: Labelled rows that the voters and the model are fitted on at most; lexicon entries at most; voters of entries.
@@ -141,7 +141,7 @@ def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 25)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    small_batches(docs)
+    bounded_batches(docs)
     sample = labelled(docs, labels, label, folds, held_out, rows, id_col, text_col).select("text", "y", words(F.col("text")).alias("w")).cache()
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     entries = _entries(sample, n.get(1, 0), n.get(0, 0)) if n.get(1) else []
@@ -188,11 +188,11 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7
     Other columns are not read.
     """
     model = fit_toxicity(docs, labels, folds=folds, held_out=held_out, rows=rows, id_col=id_col, text_col=text_col)
-    out = small_batches(docs).select(F.col(id_col), (fold(F.col(id_col), folds) == held_out).alias("held_out"), toxicity_score(docs, model, text_col).alias("score"))
+    out = bounded_batches(docs).select(F.col(id_col), (fold(F.col(id_col), folds) == held_out).alias("held_out"), toxicity_score(docs, model, text_col).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows of docs of a lower score, with all their columns."""
     model = fit_toxicity(docs, labels, **options)
-    return small_batches(docs).where(toxicity_score(docs, model, options.get("text_col", "text")) < threshold)
+    return bounded_batches(docs).where(toxicity_score(docs, model, options.get("text_col", "text")) < threshold)
