@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from tidewater.llm.ann import nearest
 from tidewater.llm.bpe import Counter, count_tokens, vocabulary_path
 from tidewater.llm.langid import forward_backward, identify_languages
-from tidewater.llm.packing import best_configuration, pack, solve
+from tidewater.llm.packing import Knapsack, pack, solve
 from tidewater.llm.quality import classify_quality, keep_quality
 from tidewater.llm.toxicity import classify_toxicity, drop_toxic
 
@@ -58,14 +58,16 @@ def test_configurations_keep_counts_and_come_close():
     for n, top in ((5000, 1023), (300, 700), (40, 1023), (0, 5)):
         counts = np.bincount(rng.integers(1, top + 1, n), minlength=1025)[1:].astype(np.int64)
         plan = solve(counts, 1024)
-        total = sum((a * times for a, times in plan), np.zeros(1024, dtype=np.int64))
-        assert (total == counts).all() and all((a * np.arange(1, 1025)).sum() <= 1024 for a, _ in plan)
-        used, least = sum(t for _, t in plan), np.ceil((counts * np.arange(1, 1025)).sum() / 1024)
-        assert used <= least * 1.02 + 1 or used <= (counts[512:]).sum() + 1
+        total = sum((a * times for a, times in plan.uses), np.zeros(1024, dtype=np.int64))
+        assert (total == counts).all() and all((a * np.arange(1, 1025)).sum() <= 1024 for a, _ in plan.uses)
+        least = np.ceil((counts * np.arange(1, 1025)).sum() / 1024)
+        assert plan.bound <= plan.sequences + 1e-6 and plan.bound >= least - 1.01
+        assert plan.sequences <= np.ceil(plan.bound) * 1.015 + 1 and plan.from_program >= 0.7 * plan.sequences
     worth = np.zeros(1024)
     worth[[299, 340]] = [3.0, 3.5]
-    a = best_configuration(worth, 1024)
-    assert a[299] * 3.0 + a[340] * 3.5 == max(i * 3.0 + j * 3.5 for i in range(4) for j in range(4) if 300 * i + 341 * j <= 1024)
+    sack = Knapsack(worth, 1024)
+    assert sack.best[1024] == max(i * 3.0 + j * 3.5 for i in range(4) for j in range(4) if 300 * i + 341 * j <= 1024)
+    assert sum(worth[s - 1] for s in sack.holding(341, 1.0, np.ones(1024))) == sack.best[1024]
 
 
 def test_nearest_neighbours(spark):
@@ -73,7 +75,7 @@ def test_nearest_neighbours(spark):
     x = rng.standard_normal((1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
     x[40:70] = x[40]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    bad = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, None] * 8), (2080, [1.0] * 3), (None, [1.0] * 16)]
+    bad = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, None] * 8), (None, [1.0] * 16)]
     got = nearest(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).repartition(3)).toPandas()
     assert sorted(got.query_id.unique()) == list(range(0, 1500, 20)) and (got.groupby("query_id").size() == 20).all()
     found = 0
@@ -85,6 +87,8 @@ def test_nearest_neighbours(spark):
         assert list(zip(-g.score, g.vec_id)) == sorted(zip(-g.score, g.vec_id))
         found += len(set(order) & set(g.vec_id))
     assert found >= 0.97 * len(got)
+    short = nearest(spark.createDataFrame([(0, [1.0, 0.0, 2.0]), (1, [2.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0, 2.0])], "vec_id long, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(short, key=lambda r: r["rank"])] == [(3, 4.0), (1, 2.0), (2, 0.0)]  # followed by zeros
     few = nearest(spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>")).collect()
     assert len(few) == 3 and nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -92,7 +96,7 @@ def test_nearest_neighbours(spark):
 def test_nearest_of_repeated_rows(spark, monkeypatch):
     from tidewater.llm import ann
 
-    monkeypatch.setattr(ann, "BLOCK", 256)
+    monkeypatch.setattr(ann, "BLOCK", 128)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 8))
     x[1] = 4 * x[0] / np.linalg.norm(x[0])  # near query 0

@@ -2,13 +2,23 @@
 
 Documents become pieces of at most `capacity` tokens. What matters of the pieces is only how many there are of each
 length: at most `capacity` numbers, whatever the size of the corpus. Over this histogram the configuration program
-(how often to use each way of filling a sequence) is solved approximately by multiplicative weights: lengths not yet
-covered weigh more, and the best configuration under the weights is found by a knapsack dynamic program. Its
-solution is rounded down at several scales, and what is left over is packed best fit first, again over the histogram;
-the scale that needs the fewest sequences is taken.
-
-The plan is then applied on Spark: the pieces of a length are numbered within salted groups, and a number gives the
-sequence and the place in it.
+(how often to use each way of filling a sequence, so that every length is covered) is solved by multiplicative weights:
+
+* A length's weight starts at its share of all tokens and falls exponentially with the part of it that is covered. Its
+  price is its weight over its number of pieces. A knapsack dynamic program finds the configuration of largest price.
+* By weak duality the total price over that configuration's price is a lower bound of the number of sequences; the best
+  bound of all rounds is kept.
+* The same program gives for each length configurations that hold it and come close to the largest price. Each round
+  uses these so often that no length gets more than its part of the round; lengths that found none lag behind, and so
+  their prices rise.
+
+The sum of the rounds is rounded: configurations are used as often as their whole part, then once more in the order
+of their remainders, as long as all their pieces are left, then again while any fits. Only what no configuration of the
+program can take is packed best fit.
+
+The plan is then applied on Spark. Pieces are numbered by length within the task that cut them, and a running sum of
+the tasks' counts makes these numbers run on; a number gives the sequence and the place in it. Full pieces are
+sequences of their own and need no number.
 """
 
 from __future__ import annotations
@@ -17,25 +27,24 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import LONGEST, apart, small_batches, vocabulary_path
-from .common import settle
+from .bpe import LONGEST, apart, vocabulary_path
+from .common import bounded_batches, settle
 
-#: Groups into which the pieces of one length are dealt before they are numbered.
-SALTS = 256
 #: Parts of texts whose ids a Python worker remembers (about 250 MB).
 REMEMBER = 1_000_000
-#: Rounds of multiplicative weights, the weights' rate, and the share of the tightest length that a round covers.
-ROUNDS, RATE, STEP = 300, 10.0, 0.02
-#: The program's solution is rounded down at several scales, as what is left over packs better if there is more of it.
-SCALES = (1.0, 0.95, 0.85, 0.7, 0.5, 0.0)
+#: Rounds of multiplicative weights, further rounds for what lags behind at the end, the weights' rate, and the share of
+#: the largest price that a configuration needs.
+ROUNDS, LAST, RATE, CLOSE = 20, 10, 8.0, 0.99
 
 
 # --- documents to pieces -------------------------------------------------------------------------------------------
@@ -53,7 +62,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -81,13 +90,13 @@ def _encoder(path: str) -> Encoder:
 
 
 def cut_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every piece. Only documents of more than capacity tokens (with end_id)
-    are cut, so that all pieces but the first are full."""
+    """(id, piece, start, length, ids_crc32, task, number) of every piece. Only documents of more than capacity tokens
+    (with end_id) are cut, so that all pieces but the first are full. number counts a task's pieces of one length."""
     path = path or vocabulary_path()
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path)
+        encode, task, seen = _encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows = []
             for key, ids in zip(batch["_id"], encode(batch["_t"].tolist())):
@@ -96,84 +105,121 @@ def cut_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str
                 head = n if n <= capacity else n % capacity or capacity
                 stops = [head, *range(head + capacity, n + 1, capacity)]
                 for piece, (a, b) in enumerate(zip([0, *stops], stops)):
-                    rows.append((key, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-            yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32"]).astype({"_id": batch["_id"].dtype})
+                    rows.append((key, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), task, seen[b - a]))
+                    seen[b - a] += 1
+            yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "task", "number"]).astype({"_id": batch["_id"].dtype})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = small_batches(docs).select(F.col(id_col).cast("string" if kind == "void" else kind).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
     # ids go as strings: pandas would turn a column of longs with nulls into floats
-    out = texts.withColumn("_id", F.col("_id").cast("string")).mapInPandas(run, "_id string, piece int, start long, length long, ids_crc32 long")
-    return out.withColumn("_id", F.col("_id").cast(kind))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("string").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
+    out = texts.mapInPandas(run, "_id string, piece int, start long, length long, ids_crc32 long, task int, number long")
+    return out.withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType))
 
 
 # --- the plan over the histogram -----------------------------------------------------------------------------------
 
 
-def best_configuration(worth: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each length 1..capacity (index length - 1) fill a sequence with the largest sum of worth."""
-    sizes = np.flatnonzero(worth > 0) + 1
-    gain = worth[sizes - 1]
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        k = fits[c]
-        if k:
-            total = best[c - sizes[:k]] + gain[:k]
-            j = int(total.argmax())
-            best[c], last[c] = total[j], sizes[j]
-        if best[c] < best[c - 1]:
-            best[c], last[c] = best[c - 1], 0
-    out, c = np.zeros(capacity, dtype=np.int64), capacity
-    while c > 0:
-        if last[c]:
-            out[last[c] - 1] += 1
-            c -= last[c]
-        else:
-            c -= 1
-    return out
-
-
-def solve(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how often each is used, in all exactly the counts (index: length - 1)."""
+class Knapsack:
+    """Unbounded knapsack over lengths 1..capacity (index of worth: length - 1)."""
+
+    def __init__(self, worth: np.ndarray, capacity: int):
+        self.sizes = np.flatnonzero(worth > 0) + 1
+        self.gain, self.capacity = worth[self.sizes - 1], capacity
+        self.best, self.last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+        fits = np.searchsorted(self.sizes, np.arange(capacity + 1), side="right")
+        for c in range(1, capacity + 1):
+            if k := fits[c]:
+                total = self.best[c - self.sizes[:k]] + self.gain[:k]
+                j = int(total.argmax())
+                self.best[c], self.last[c] = total[j], self.sizes[j]
+            if self.best[c] < self.best[c - 1]:
+                self.best[c], self.last[c] = self.best[c - 1], 0
+
+    def holding(self, size: int, share: float, open_: np.ndarray) -> list[int]:
+        """A configuration that holds size and is worth that share of the best one. It always takes the longest length
+        that keeps it so and is open (by length - 1), as short ones fit in anywhere. Empty if there is none."""
+        out, room, worth = [size], self.capacity - size, self.gain[np.searchsorted(self.sizes, size)]
+        least, some = share * self.best[self.capacity], open_[self.sizes - 1] > 0
+        if worth + self.best[room] < least:
+            return []
+        while room > 0:
+            k = int(np.searchsorted(self.sizes, room, side="right"))
+            good = some[:k] & (worth + self.gain[:k] + self.best[room - self.sizes[:k]] >= least)
+            if not good.any():
+                break
+            at = np.flatnonzero(good)
+            j = int(at[-1])
+            out.append(int(self.sizes[j]))
+            worth += self.gain[j]
+            room -= int(self.sizes[j])
+        return out if worth >= least else []
+
+
+def configurations(need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
+    """An approximate solution of the program for these counts (index: length - 1): configurations (lengths, falling)
+    and how often each is used; and the best lower bound found. No length gets more than it has; what found no
+    configuration close to the best price is left uncovered."""
+    sizes, used, bound = np.arange(1, capacity + 1), {}, 0.0
+    covered, has = np.zeros(capacity), need > 0
+    for turn in range(1, rounds + LAST + 1):
+        share = np.divide(covered, need, out=np.zeros(capacity), where=has)
+        price = np.where(has, sizes * np.exp(-RATE * (share - share[has].min())), 0.0)
+        sack = Knapsack(price, capacity)
+        bound = max(bound, float((need * price).sum() / sack.best[capacity]))
+        open_ = need * min(1.0, turn / rounds) - covered
+        open_[open_ < 1e-9 * need + 1e-12] = 0
+        for size in sack.sizes[::-1]:
+            while open_[size - 1] > 0 and (held := sack.holding(int(size), CLOSE, open_)):
+                each = np.bincount(np.array(held) - 1, minlength=capacity)
+                own = each > 0
+                times = float((open_[own] / each[own]).min())
+                key = tuple(sorted(held, reverse=True))
+                used[key] = used.get(key, 0.0) + times
+                covered[own] += times * each[own]
+                open_[own] = np.where(open_[own] - times * each[own] > 1e-9 * need[own], open_[own] - times * each[own], 0)
+    return used, bound
+
+
+@dataclass
+class Plan:
+    uses: list[tuple[np.ndarray, int]]  # configuration (index: length - 1), how often
+    from_program: int  # sequences that are configurations of the program
+    bound: float  # no packing needs fewer
+
+    @property
+    def sequences(self) -> int:
+        return sum(times for _, times in self.uses)
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Plan:
+    """A plan that holds exactly the counts (index: length - 1). Full pieces are configurations of one."""
     left = counts.astype(np.int64).copy()
-    plan: list[tuple[np.ndarray, int]] = []
-    if left[capacity - 1]:  # full pieces
-        one = np.zeros(capacity, dtype=np.int64)
-        one[capacity - 1] = 1
-        plan.append((one, int(left[capacity - 1])))
-        left[capacity - 1] = 0
-    need = left.astype(float)
-    covered = np.zeros(capacity)
-    used: dict[bytes, float] = {}
-    sizes = np.arange(1, capacity + 1)
-    for _ in range(ROUNDS):
-        open_ = (need > 0) & (covered < need)
-        if not open_.any():
-            break
-        # a length's price: its share of a sequence, times a weight that falls as it gets covered
-        share = np.divide(covered, need, out=np.ones(capacity), where=need > 0)
-        worth = np.where(open_, sizes * np.exp(-RATE * (share - share[open_].min())), 0.0)
-        a = best_configuration(worth, capacity)
+    full, left[capacity - 1] = int(left[capacity - 1]), 0
+    uses: list[tuple[np.ndarray, int]] = []
+    if full:
+        uses.append((_counts([capacity], capacity), full))
+    used, bound = configurations(left.astype(float), capacity, rounds) if left.any() else ({}, 0.0)
+    times = dict.fromkeys(used, 0)
+
+    def use(key: tuple[int, ...], most: int) -> None:
+        a = _counts(key, capacity)
         held = a > 0
-        times = min(((need - covered)[held] / a[held]).min(), max(1.0, STEP * (need[held] / a[held]).max()))
-        if times < 1:  # what is open is less than one configuration; rounding takes care of it
-            covered[held] = np.where((need - covered)[held] < a[held], need[held], covered[held])
-            continue
-        covered += a * times
-        used[a.tobytes()] = used.get(a.tobytes(), 0.0) + times
-    solution = [(np.frombuffer(key, dtype=np.int64), times) for key, times in used.items()]
-    rounded = [_round(solution, scale, left, capacity) for scale in SCALES]
-    return plan + min(rounded, key=lambda r: sum(times for _, times in r))
-
-
-def _round(solution: list[tuple[np.ndarray, float]], scale: float, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """The solution, scaled and rounded down, and the rest packed best fit first."""
-    plan, left = [], left.copy()
-    for a, times in solution:
-        if n := int(times * scale):
-            plan.append((a, n))
-            left -= a * n
-    return plan + best_fit(left, capacity)
+        n = min(most, int((left[held] // a[held]).min()))
+        if n > 0:
+            times[key] += n
+            left[held] -= n * a[held]
+
+    for key, x in used.items():
+        use(key, int(x))
+    for key in sorted(used, key=lambda k: (int(used[k]) - used[k], k)):
+        use(key, 1)
+    for key in sorted(used, key=lambda k: (-sum(k), k)):
+        use(key, int(left.sum()))
+    uses += [(_counts(key, capacity), n) for key, n in times.items() if n]
+    return Plan(uses + best_fit(left, capacity), full + sum(times.values()), full + bound)
+
+
+def _counts(lengths, capacity: int) -> np.ndarray:
+    return np.bincount(np.array(lengths) - 1, minlength=capacity)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -239,31 +285,32 @@ def _places(plan: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one piece of the end token alone. Rows that repeat an id are packed each on their own.
-    Other columns are not read. An empty table gives an empty table. The driver sees the histogram by length and salt
-    (capacity * 256 numbers at most), never pieces.
+    Null and empty texts are one piece of the end token alone. Texts of any length are cut, never shortened. Rows that
+    repeat an id are packed each on their own; pieces of equal length are interchangeable, so ties change nothing but
+    sequence numbers. Other columns are not read. An empty table gives an empty table. The driver sees the histogram by
+    length (capacity numbers at most), never pieces. Full pieces get negative sequence numbers, the others those from 0.
     """
-    pieces = settle(cut_pieces(docs, capacity, end_id, path, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
-    groups = pieces.groupBy("length", "salt").count().toPandas().sort_values(["length", "salt"], ignore_index=True)
-    groups["first"] = groups.groupby("length")["count"].cumsum() - groups["count"]
+    pieces = settle(cut_pieces(docs, capacity, end_id, path, id_col, text_col))
+    groups = pieces.where(F.col("length") < capacity).groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity, dtype=np.int64)
-    np.add.at(counts, groups["length"].to_numpy(dtype=np.int64) - 1, groups["count"].to_numpy(dtype=np.int64))
-    at = _places(solve(counts, capacity))
-    first = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    first[groups["length"].to_numpy(dtype=np.int64), groups["salt"].to_numpy(dtype=np.int64)] = groups["first"].to_numpy(dtype=np.int64)
+    for length, n in groups.groupBy("length").agg(F.sum("n")).collect():
+        counts[length - 1] = n
+    at = _places(solve(counts, capacity).uses)
     lo = np.searchsorted(at["length"], np.arange(capacity + 2)) if len(at["length"]) else np.zeros(capacity + 2, dtype=np.int64)
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        size = length.to_numpy(dtype=np.int64)
-        number = first[size, salt.to_numpy(dtype=np.int64)] + rank.to_numpy(dtype=np.int64) - 1
+    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
+        size, n = length.to_numpy(dtype=np.int64), number.to_numpy(dtype=np.int64)
         run = np.empty(len(size), dtype=np.int64)
         for s in np.unique(size):
             mine = size == s
-            run[mine] = lo[s] + np.searchsorted(at["number"][lo[s] : lo[s + 1]], number[mine], side="right") - 1
-        sequence, slot = np.divmod(number - at["number"][run], at["each"][run])
+            run[mine] = lo[s] + np.searchsorted(at["number"][lo[s] : lo[s + 1]], n[mine], side="right") - 1
+        sequence, slot = np.divmod(n - at["number"][run], at["each"][run])
         return pd.DataFrame({"sequence_id": at["sequence"][run] + sequence, "offset": at["offset"][run] + slot * size})
 
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("_id", "piece", "ids_crc32"))
-    placed = pieces.withColumn("rank", rank).withColumn("at", place("length", "salt", "rank"))
-    return placed.select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = groups.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = pieces.where(F.col("length") < capacity).join(first, ["length", "task"]).withColumn("at", place("length", F.col("first") + F.col("number")))
+    out = [F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32"]
+    full = pieces.where(F.col("length") == capacity).select(*out, (-1 - F.shiftleft(F.col("task").cast("long"), 40) - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.select(*out, "at.sequence_id", "at.offset").unionByName(full)
