@@ -2,13 +2,14 @@
 
 Nearness is the inner product. One more component makes all vectors equally long, and then the largest inner product
 is the smallest distance. A Gaussian projection to a few dimensions turns a squared distance D2 into D2 times a
-chi-square variable of as many degrees of freedom. Points are taken in the order of their projected distance from a
-kd-tree, leaf by leaf, and their true inner products are computed, until the projected distance of the next leaf is so
-large that a point beyond it is a better neighbour with a chance below 1 - confidence (the chi-square stopping test).
-
-On Spark the top of the tree is fitted on a bounded sample: it deals all vectors into cells, and large cells into
-blocks. A query first searches its own block; the bound found there and the same test tell which other cells it has to
-visit. Query blocks meet data blocks in a keyed cogroup, so no task sees more than two blocks.
+chi-square variable of as many degrees of freedom. A query takes points in the order of their own projected distance
+and computes their true inner products, until the next projected distance is so large that the point is a better
+neighbour with a chance below 1 - confidence (the chi-square stopping test).
+
+On Spark the top of the kd-tree is fitted on a bounded sample: it deals all vectors into cells, and large cells into
+blocks. A query first visits the few blocks whose cells are nearest to it in the projection; the bound found there and
+the same test tell which other blocks it has to visit. Queries are sent to blocks, in groups of bounded size: a block
+meets a group of queries in a keyed cogroup, and is copied only if more queries come to it than a group holds.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import Scratch, mix64
 
-#: Rows that the top of the tree is fitted on, rows of a block, cells at most, points of a leaf.
-SAMPLE, BLOCK, CELLS, LEAF = 20_000, 8192, 1024, 128
+#: Rows that the top of the tree is fitted on, rows of a block, cells at most, blocks that a query visits first, queries
+#: of a group, queries that are searched together, and points that a query verifies before it tests again.
+SAMPLE, BLOCK, CELLS, FIRST, GROUP, TOGETHER, STEP = 20_000, 2048, 1024, 4, 4096, 128, 256
 SEED = 20
 
 
@@ -80,50 +82,35 @@ def _box_distance(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def _leaves(points: np.ndarray) -> list[np.ndarray]:
-    """kd-tree leaves of at most LEAF points, as index arrays."""
-    todo, out = [np.arange(len(points))], []
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= LEAF:
-            out.append(rows)
-            continue
-        p = points[rows]
-        d, half = int((p.max(0) - p.min(0)).argmax()), len(rows) // 2
-        rows = rows[np.argpartition(p[:, d], half)]
-        todo += [rows[:half], rows[half:]]
-    return out
-
-
 def search_block(ids, x, p, q_ids, q, q_p, bound, top2, k, limit):
-    """The k best of a block for each query, if not beyond its bound (a squared distance): query row, block row, score."""
-    leaves = _leaves(p)
-    size = max(map(len, leaves))
-    member = np.full((len(leaves), size), -1)
-    for i, rows in enumerate(leaves):
-        member[i, : len(rows)] = rows
-    lo, hi = np.stack([p[r].min(0) for r in leaves]), np.stack([p[r].max(0) for r in leaves])
-    found = []
-    for a in range(0, len(q), 256):
-        qa, base = q[a : a + 256], top2 + (q[a : a + 256] ** 2).sum(1)
-        far = _box_distance(q_p[a : a + 256], lo, hi)
-        order = far.argsort(1, kind="stable")
-        far = np.take_along_axis(far, order, 1)
-        best = np.full((len(qa), k), -np.inf)
-        best_row = np.full((len(qa), k), -1)
-        radius = bound[a : a + 256].copy()
-        for step in range(len(leaves)):
-            act = np.flatnonzero(far[:, step] <= limit * np.maximum(radius, 1e-12))
-            if not len(act):
-                break
-            rows = member[order[act, step]]
-            score = (x[rows] * qa[act, None, :]).sum(-1)
-            score[(rows < 0) | (ids[rows] == q_ids[a + act][:, None])] = -np.inf
+    """The k best of a block for each query, if not beyond its bound (a squared distance): query row, block row, score.
+
+    Points come in the order of projected distance, STEP at a time; a query stops when the next one fails the test."""
+    found, own = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))], (p**2).sum(1)
+    for a in range(0, len(q), TOGETHER):
+        qa, qp, same = q[a : a + TOGETHER], q_p[a : a + TOGETHER], q_ids[a : a + TOGETHER]
+        base, radius = top2 + (qa**2).sum(1), bound[a : a + TOGETHER].copy()
+        far = np.maximum((qp**2).sum(1)[:, None] + own[None] - 2 * qp @ p.T, 0)
+        best, best_row = np.full((len(qa), k), -np.inf), np.full((len(qa), k), -1)
+        act = np.arange(len(qa))
+        first = 0
+        while len(act) and first < len(x):
+            n = min(STEP, len(x) - first)
+            # the next n points of each query: a partial sort of what passes the test, in falling remainders
+            rows = np.argpartition(far[act], n - 1, axis=1)[:, :n] if n < len(x) else np.broadcast_to(np.arange(n), (len(act), n))
+            near = np.take_along_axis(far[act], rows, 1)
+            passes = (near <= limit * np.maximum(radius[act], 1e-12)[:, None]) & (ids[rows] != same[act][:, None])
+            i, j = np.nonzero(passes)
+            score = np.full(rows.shape, -np.inf)
+            score[i, j] = np.einsum("nd,nd->n", x[rows[i, j]], qa[act[i]])
+            far[act[:, None], rows] = np.inf  # seen
             score, rows = np.concatenate([best[act], score], 1), np.concatenate([best_row[act], rows], 1)
-            first = np.lexsort((ids[rows], -score), axis=1)[:, :k]
-            best[act], best_row[act] = np.take_along_axis(score, first, 1), np.take_along_axis(rows, first, 1)
+            order = np.lexsort((ids[rows], -score), axis=1)[:, :k]
+            best[act], best_row[act] = np.take_along_axis(score, order, 1), np.take_along_axis(rows, order, 1)
             radius[act] = np.minimum(radius[act], np.maximum(base[act] - 2 * best[act, -1], 0))
-        good = np.isfinite(best) & (base[:, None] - 2 * best <= bound[a : a + 256, None] + 1e-9)
+            first += n
+            act = act[near.max(1) <= limit * np.maximum(radius[act], 1e-12)]
+        good = np.isfinite(best) & (base[:, None] - 2 * best <= bound[a : a + TOGETHER, None] + 1e-9)
         i, j = np.nonzero(good)
         found.append((a + i, best_row[i, j], best[i, j]))
     return [np.concatenate(c) for c in zip(*found)]
@@ -135,24 +122,26 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & finite & F.exists(vec, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, confidence: float = 0.99, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 24, confidence: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every`, the k nearest found of all others.
 
     Ties go to the smaller id; rows that repeat an id, or an id and its vector, are points of their own, but never
-    neighbours of a query of that id. A query id of several vectors gets the rows nearest to any of them. Null, zero and non-finite vectors take no part, nor do null ids, nor vectors of another length than the most
-    common one (the longer of two equally common). A query gets fewer than k rows only if fewer others exist. An empty
-    table gives an empty table. Other columns are not read.
+    neighbours of a query of that id. A query id of several vectors gets the rows nearest to any of them. Null, zero and
+    non-finite vectors take no part, nor do null ids. A vector shorter than the longest counts as followed by zeros.
+    Vectors of any length are used whole. A query gets fewer than k rows only if fewer others exist. An empty table gives
+    an empty table. Other columns are not read.
     """
-    spark = vectors.sparkSession
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     out = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & usable(F.col("x")))
-    lengths = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("top2"))
-    common = lengths.orderBy(F.desc("n"), F.desc("d")).first()
-    if common is None:
+    size = rows.agg(F.max(F.size("x")).alias("d"), F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("top2")).first()
+    if not size["n"]:
         return spark.createDataFrame([], out)
-    d, n, top2 = common["d"], common["n"], common["top2"]
-    rows = rows.where(F.size("x") == d)
+    d, n, top2 = size["d"], size["n"], size["top2"]
+    rows = rows.withColumn("x", F.when(F.size("x") < d, F.concat("x", F.array_repeat(F.lit(0.0), F.lit(d) - F.size("x")))).otherwise(F.col("x")))
     matrix = np.random.default_rng(SEED).standard_normal((d + 1, dims))
+    # all distances share the added component, so its part must not be long or short by chance
+    matrix[-1] *= math.sqrt(dims / (matrix[-1] ** 2).sum())
     limit = chi_square_quantile(confidence, dims)
 
     def project(x: np.ndarray) -> np.ndarray:
@@ -167,72 +156,63 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = 8, con
     cells = min(CELLS, max(1, math.ceil(n / (BLOCK // 2))))
     top = Split(project(stack(sample["x"])), cells) if len(sample) else Split(np.zeros((0, dims)), 1)
 
-    @F.pandas_udf("int")
-    def cell_of(xs: pd.Series) -> pd.Series:
-        return pd.Series(top.cell(project(stack(xs))))
-
-    dealt = settle(rows.withColumn("cell", cell_of("x")))
-    counts = {r["cell"]: r["count"] for r in dealt.groupBy("cell").count().collect()}  # at most CELLS
-    parts = F.create_map(*[F.lit(v) for c, m in counts.items() for v in (c, math.ceil(m / BLOCK))])
-    blocks = dealt.withColumn("part", F.pmod(F.xxhash64("row"), parts[F.col("cell")]).cast("int"))
-
-    # --- each query in its own block
-    def home(batch: pd.DataFrame) -> pd.DataFrame:
-        ids, keys, x = batch["id"].to_numpy(), batch["row"].to_numpy(), stack(batch["x"])
-        ask = np.flatnonzero(ids % every == 0)
-        # equal rows ask once
-        ask = np.array(list({(ids[r], x[r].tobytes()): r for r in ask[::-1]}.values())[::-1], dtype=np.int64)
-        q, q_ids = x[ask], ids[ask]
-        if not len(q):
-            return pd.DataFrame(columns=["query_id", "cell", "part", "q", "near", "keys", "scores"], dtype=object)
-        i, at_row, score = search_block(ids, x, project(x), q_ids, q, q @ matrix[:-1], np.full(len(q), np.inf), top2, k, limit)
-        at = np.searchsorted(i, np.arange(len(q) + 1))
-        near, key = ids[at_row], keys[at_row]
-        return pd.DataFrame({"query_id": q_ids, "cell": batch["cell"].iloc[0], "part": batch["part"].iloc[0], "q": list(q), "near": [near[a:b] for a, b in zip(at, at[1:])], "keys": [key[a:b] for a, b in zip(at, at[1:])], "scores": [score[a:b] for a, b in zip(at, at[1:])]})
-
-    asked_at = blocks.groupBy("cell", "part").applyInPandas(home, "query_id long, cell int, part int, q array<double>, near array<long>, keys array<long>, scores array<double>")
-    # equal rows of other blocks ask no second time: the one that stays visits these blocks as well
-    started = settle(asked_at.dropDuplicates(["query_id", "q"]))
-
-    # --- which other blocks it has to visit
-    @F.pandas_udf("array<double>")
-    def projected(xs: pd.Series) -> pd.Series:
-        return pd.Series(list(project(stack(xs))))
-
-    p = dealt.select("cell", projected("x").alias("p"))
-    edges = p.groupBy("cell").agg(F.array(*[F.min(F.col("p")[j]) for j in range(dims)]).alias("lo"), F.array(*[F.max(F.col("p")[j]) for j in range(dims)]).alias("hi")).toPandas().sort_values("cell")
-    lo, hi, numbers = stack(edges["lo"]), stack(edges["hi"]), edges["cell"].to_numpy()
-    held = np.array([math.ceil(counts[c] / BLOCK) for c in numbers])
+    def dealing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            p = project(stack(b["x"]))
+            yield b.assign(cell=top.cell(p), p=list(p))
+
+    dealt = scratch.settle(rows.mapInPandas(dealing, "id long, x array<double>, row long, cell int, p array<double>"))
+    edges = dealt.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.col("p")[j]).alias(f"{f.__name__}{j}") for f in (F.min, F.max) for j in range(dims)]).toPandas().sort_values("cell")  # a row for each of at most CELLS cells
+    lo, hi = (edges[[f"{f}{j}" for j in range(dims)]].to_numpy(dtype=float) for f in ("min", "max"))
+    numbers, held = edges["cell"].to_numpy(), np.ceil(edges["n"].to_numpy(dtype=float) / BLOCK).astype(int)
+    parts = F.create_map(*[F.lit(int(v)) for pair in zip(numbers, held) for v in pair])
+    blocks = dealt.select("id", "x", "row", "cell", F.pmod(F.xxhash64("row"), parts[F.col("cell")]).cast("int").alias("part"))
+    # equal rows ask once
+    asking = dealt.where(F.pmod("id", F.lit(every)) == 0).groupBy("id", "x").agg(F.min("row").alias("ask"))
+
+    # --- queries to blocks: the nearest few, then all that the bound and the test leave
+    blocks_of = [(c, part) for c, h in zip(numbers, held) for part in range(h)]
+    cell_at, part_at, edge_at = np.array([b[0] for b in blocks_of]), np.array([b[1] for b in blocks_of]), np.repeat(np.arange(len(numbers)), held)
+    routed = "ask long, id long, q array<double>, bound double, cell int, part int, chunk int"
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            q = stack(b["q"])
-            bound = np.array([max(top2 + (v**2).sum() - 2 * s[-1], 0) if len(s) == k else np.inf for v, s in zip(q, b["scores"])])
-            i, j = np.nonzero(_box_distance(q @ matrix[:-1], lo, hi) <= limit * np.maximum(bound, 1e-12)[:, None])
-            i, part = np.repeat(i, held[j]), np.concatenate([np.arange(h) for h in held[j]] or [np.zeros(0, int)])
-            cell = np.repeat(numbers[j], held[j])
-            own = (cell == b["cell"].to_numpy()[i]) & (part == b["part"].to_numpy()[i])
-            i, cell, part = i[~own], cell[~own], part[~own]
-            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[i], "q": pd.Series([q[v] for v in i], dtype=object), "bound": bound[i], "from_cell": b["cell"].to_numpy()[i], "from_part": b["part"].to_numpy()[i], "cell": cell, "part": part})
-
-    routed = settle(started.mapInPandas(route, "query_id long, q array<double>, bound double, from_cell int, from_part int, cell int, part int"))
-    wanted = routed.select("from_cell", "from_part", "cell", "part").distinct()
-    data = blocks.join(wanted, ["cell", "part"]).select(*[F.col(c).alias(f"to_{c}") for c in ("from_cell", "from_part", "cell", "part")], "id", "row", "x")
-
-    def away(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                b = batch.iloc[a : a + 256]
+                q, bound, ask = stack(b["x"]), b["bound"].to_numpy(dtype=float), b["ask"].to_numpy()
+                far = _box_distance(q @ matrix[:-1], lo, hi)[:, edge_at]
+                # blocks of one cell are equally near; each query starts with another
+                turn = (part_at[None] - ask[:, None] % np.repeat(held, held)[None]) % np.repeat(held, held)[None]
+                rank = np.lexsort((turn, far), axis=1).argsort(1)
+                goes = np.where(np.isnan(bound)[:, None], rank < FIRST, (rank >= FIRST) & (far <= limit * np.maximum(np.nan_to_num(bound, nan=np.inf), 1e-12)[:, None]))
+                i, j = np.nonzero(goes)
+                bounds = np.where(np.isnan(bound), np.inf, bound)
+                yield pd.DataFrame({"ask": ask[i], "id": b["id"].to_numpy()[i], "q": pd.Series([q[v] for v in i], dtype=object), "bound": bounds[i], "cell": cell_at[j], "part": part_at[j], "chunk": (mix64(ask.astype(np.uint64)) % np.uint64(chunks)).astype(int)[i]})
+
+    def visit(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(block):
-            return pd.DataFrame(columns=["query_id", "vec_id", "key", "score"], dtype=object)
-        x, q, q_ids = stack(block["x"]), stack(asked["q"]), asked["query_id"].to_numpy()
-        ids = block["id"].to_numpy()
-        i, at_row, score = search_block(ids, x, project(x), q_ids, q, q @ matrix[:-1], asked["bound"].to_numpy(), top2, k, limit)
-        return pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[at_row], "key": block["row"].to_numpy()[at_row], "score": score})
-
-    key = ["from_cell", "from_part", "cell", "part"]
-    seen = routed.groupBy(*key).cogroup(data.groupBy(*[f"to_{c}" for c in key])).applyInPandas(away, "query_id long, vec_id long, key long, score double")
-    own = started.select("query_id", F.explode(F.arrays_zip("near", "keys", "scores")).alias("f")).select("query_id", F.col("f.near").alias("vec_id"), F.col("f.keys").alias("key"), F.col("f.scores").alias("score"))
-    # a row that several vectors of one query id found counts once
-    both = own.unionByName(seen).groupBy("query_id", "key", "vec_id").agg(F.max("score").alias("score"))
+            return pd.DataFrame(columns=["ask", "query_id", "vec_id", "key", "score"], dtype=object)
+        x, q, q_ids, ids = stack(block["x"]), stack(asked["q"]), asked["id"].to_numpy(), block["id"].to_numpy()
+        i, at, score = search_block(ids, x, project(x), q_ids, q, q @ matrix[:-1], asked["bound"].to_numpy(), top2, k, limit)
+        return pd.DataFrame({"ask": asked["ask"].to_numpy()[i], "query_id": q_ids[i], "vec_id": ids[at], "key": block["row"].to_numpy()[at], "score": score})
+
+    def search(to: DataFrame) -> DataFrame:
+        key = ["cell", "part", "chunk"]
+        data = blocks.join(to.select(*key).distinct(), ["cell", "part"]).select(*[F.col(c).alias(f"at_{c}") for c in key], "id", "row", "x")
+        return scratch.settle(to.groupBy(*key).cogroup(data.groupBy(*[f"at_{c}" for c in key])).applyInPandas(visit, "ask long, query_id long, vec_id long, key long, score double"), keep=True)
+
+    asking = scratch.settle(asking)
+    chunks = max(1, math.ceil(asking.count() / GROUP))
+    near = search(scratch.settle(asking.withColumn("bound", F.lit(float("nan"))).mapInPandas(route, routed)))
     nearest_first = [F.desc("score"), F.asc("vec_id")]
+    kth = near.withColumn("r", F.row_number().over(Window.partitionBy("ask").orderBy(*nearest_first))).where(F.col("r") == k).select("ask", "score")  # at most FIRST * k rows of each query
+    longest = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    bound = F.greatest(F.lit(0.0), F.lit(top2) + longest - 2 * F.col("score"))
+    rest = asking.join(kth, "ask", "left").select("id", "x", "ask", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
+    away = search(scratch.settle(rest.mapInPandas(route, routed)))
+    # a row that several vectors of one query id found counts once
+    both = near.unionByName(away).groupBy("query_id", "key", "vec_id").agg(F.max("score").alias("score"))
     some = F.row_number().over(Window.partitionBy("query_id", F.pmod(F.xxhash64("key"), F.lit(16))).orderBy(*nearest_first))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*nearest_first))
+    scratch.clear()
     return both.withColumn("r", some).where(F.col("r") <= k).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
