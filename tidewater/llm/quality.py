@@ -146,11 +146,21 @@ def fold(id_: Column, folds: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(text, y): labelled rows outside the held-out fold, `rows` of them at most, chosen by a hash of the id."""
+    """(text, y): labelled rows outside the held-out fold, `rows` ids of them at most, chosen by a hash of the id. Rows
+    that repeat an id and its text count once."""
     some = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("_id"), folds) != held_out)).distinct()
     chosen = some.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(label)), "_id", "y").limit(rows)
     # at most `rows` ids: fit to be broadcast
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("text", "y")
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    return found.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_id", "_h", "y"]).select("text", "y")
+
+
+def unlabelled(docs: DataFrame, folds: int, held_out: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(text): about `rows` rows outside the held-out fold, chosen by a hash of id and text; equal rows count once."""
+    outside = docs.where(F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != held_out))
+    slots = max(1, math.ceil(outside.count() / max(rows, 1)))
+    some = outside.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("_h"), F.coalesce(text_col, F.lit("")).alias("text")).where(F.pmod("_h", F.lit(slots)) == 0)
+    return some.dropDuplicates(["_h"]).select("text")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
@@ -183,7 +193,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     Labels are learned only outside the held-out fold (crc32 of the id as text, modulo folds), from `rows` labelled
     rows at most. Scores use the whole text and nothing else; null and empty texts get the score of an empty text.
     Null labels are left out; of contradicting labels each counts. Without labels every score is 0.5, with labels of
-    one kind only it is near that label. Rows that repeat an id stay. Other columns are not read.
+    one kind only it is near that label. Rows that repeat an id stay, and equal texts get equal scores. Texts of any
+    length are read whole. An empty table gives an empty table. Other columns are not read.
     """
     model = fit_quality(docs, labels, folds=folds, held_out=held_out, rows=rows, id_col=id_col, text_col=text_col)
     out = bounded_batches(docs).select(F.col(id_col), (fold(F.col(id_col), folds) == held_out).alias("held_out"), quality_score(docs, model, text_col).alias("score"))
@@ -191,6 +202,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The rows of docs of that score at least, with all their columns."""
+    """The rows of docs of that score at least, with all their columns; nulls, ties, repeated rows and empty tables are
+    as classify_quality has them."""
     model = fit_quality(docs, labels, **options)
     return bounded_batches(docs).where(quality_score(docs, model, options.get("text_col", "text")) >= threshold)
