@@ -59,9 +59,8 @@ class Crf:
         return np.add.reduceat(self.weights[flat], np.cumsum([0, *map(len, lists)])[:-1])
 
 
-def forward_backward(score: np.ndarray, start: np.ndarray, length: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Label probabilities of every word. score: words of all texts, one after the other; texts in order of falling
-    length, so that those that have a t-th word come first."""
+def _passes(score: np.ndarray, start: np.ndarray, length: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions, forward and backward messages of every word, each up to a factor of the word."""
     e = np.exp(score - score.max(1, keepdims=True)).astype(np.float64)
     move = np.exp(transitions)
     alpha, beta = np.empty_like(e), np.ones_like(e)
@@ -74,10 +73,29 @@ def forward_backward(score: np.ndarray, start: np.ndarray, length: np.ndarray, t
         at = start[: alive[t + 1]] + t
         b = (e[at + 1] * beta[at + 1]) @ move.T
         beta[at] = b / b.sum(1, keepdims=True)
+    return e, alpha, beta
+
+
+def forward_backward(score: np.ndarray, start: np.ndarray, length: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Label probabilities of every word. score: words of all texts, one after the other; texts in order of falling
+    length, so that those that have a t-th word come first."""
+    _, alpha, beta = _passes(score, start, length, transitions)
     p = alpha * beta
     return p / p.sum(1, keepdims=True)
 
 
+def expected_moves(score: np.ndarray, start: np.ndarray, length: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of every word, and how often each label is expected to follow each other one."""
+    e, alpha, beta = _passes(score, start, length, transitions)
+    p = alpha * beta
+    later = np.ones(len(score), dtype=bool)
+    later[start] = False
+    to = np.flatnonzero(later)
+    joint = alpha[to - 1][:, :, None] * np.exp(transitions)[None] * (e[to] * beta[to])[:, None, :]
+    joint /= joint.sum((1, 2), keepdims=True)
+    return p / p.sum(1, keepdims=True), joint.sum(0)
+
+
 def train(texts: list[list[str]], langs: list[str], seed: int = 8, words_each: int = TRAINING_WORDS) -> Crf:
     """texts: words of documents; langs: their labels. Adaptive gradient ascent of the likelihood. Of each language
     shuffled pieces are taken until they have words_each words."""
@@ -119,7 +137,7 @@ def train(texts: list[list[str]], langs: list[str], seed: int = 8, words_each: i
             span = np.concatenate([np.arange(first[w], first[w + 1]) for w in own])
             group = np.repeat(np.arange(len(own)), sizes[own])
             em = np.add.reduceat(crf.weights[flat[span]], np.cumsum([0, *sizes[own]])[:-1])
-            p = forward_backward(em[back], start, length, crf.transitions)
+            p, moves = expected_moves(em[back], start, length, crf.transitions)
             error = -p
             error[np.arange(len(y)), y] += 1
             per_word = np.zeros((len(own), len(labels)))
@@ -130,15 +148,13 @@ def train(texts: list[list[str]], langs: list[str], seed: int = 8, words_each: i
             grad -= 0.01 * crf.weights[feats]
             g2[feats] += grad**2
             crf.weights[feats] += (0.3 * grad / np.sqrt(g2[feats])).astype(np.float32)
-            # transitions: seen pairs less expected pairs (of neighbours' probabilities)
-            inner = np.ones(len(y), dtype=bool)
-            inner[start] = False
-            to = np.flatnonzero(inner)
+            # transitions: seen moves less expected ones
+            later = np.ones(len(y), dtype=bool)
+            later[start] = False
+            to = np.flatnonzero(later)
             seen = np.zeros_like(crf.transitions)
             np.add.at(seen, (y[to - 1], y[to]), 1)
-            joint = p[to - 1][:, :, None] * np.exp(crf.transitions)[None] * p[to][:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            tg = seen - joint.sum(0) - 0.1 * crf.transitions
+            tg = seen - moves - 0.1 * crf.transitions
             t2 += tg**2
             crf.transitions += 0.3 * tg / np.sqrt(t2)
     return crf
@@ -220,9 +236,10 @@ def identify_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, id_co
     """One row for each row of docs: id, held_out, lang_pred, score (mean probability of that label over the words).
 
     Learned from text and non-null lang of documents outside the held-out fold (crc32 of the id as text, modulo
-    folds), `docs_each` documents and about `words_each` words of each language at most; predictions read only the whole text. Null texts, texts
-    without a letter, and all texts where nothing could be learned are `und` with score 0. Rows that repeat an id
-    stay. Other columns are not read. No shuffle after training.
+    folds), about `docs_each` documents and `words_each` words of each language at most; predictions read only the
+    whole text, of any length. Null texts, texts without a letter, and all texts where nothing could be learned are
+    `und` with score 0. Of equally likely languages the first by name is taken. Rows that repeat an id stay. An empty
+    table gives an empty table. Other columns are not read. No shuffle after training.
     """
     crf = fit_languages(docs, folds, held_out, docs_each, id_col, text_col, lang_col, words_each)
     kind = docs.schema[id_col].dataType.simpleString()
