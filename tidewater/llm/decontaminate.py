@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import fresh, words
 
 #: Windows that are broadcast at once; a larger benchmark is joined part by part.
 WINDOWS_AT_ONCE = 20_000
@@ -46,13 +46,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
 
     A word is hit if it stands in any occurrence of a window. contaminated: at least one word in twenty is hit. Null
     and empty texts have no words; an item without words hits nothing. Items that repeat an id or a text count once;
-    an item of null id hits words, but is not counted or named. Rows that repeat an id are looked at on their own.
+    an item of null id hits words, but is not counted or named. Texts of any length are read whole, in time that grows
+    with their length. Rows that repeat an id are looked at on their own; overlapping windows hit a word once.
     Other columns are not read. An empty benchmark hits nothing; an empty table of documents gives an empty table.
     """
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_h"), words(F.col(text_col)).alias("_w"))
     windows = benchmark_windows(benchmark, size, item_col, item_text_col).cache()
     parts = max(1, math.ceil(windows.count() / WINDOWS_AT_ONCE))
-    found = [_occurrences(texts, windows.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == k), first=k == 0) for k in range(parts)]
+    found = [_occurrences(texts, windows.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == k), size, first=k == 0) for k in range(parts)]
     hits = reduce(DataFrame.unionByName, found)
     spans = hits.groupBy("_id", "_h").agg(
         F.count_if("itself").alias("copies"),
@@ -74,7 +75,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
     ).drop("_copy")
 
 
-def _occurrences(texts: DataFrame, windows: DataFrame, first: bool) -> DataFrame:
+def _occurrences(texts: DataFrame, windows: DataFrame, size: int, first: bool) -> DataFrame:
     """(_id, _h, n, itself, s, e, items): occurrences of windows from word s to before word e, and, at first, a row
     for each document itself."""
     vocabulary = windows.select(F.explode("win").alias("word")).distinct()
@@ -82,18 +83,22 @@ def _occurrences(texts: DataFrame, windows: DataFrame, first: bool) -> DataFrame
     pairs = _rarest_pairs(windows, counts).cache()
     anchors = [r[0] for r in pairs.select("anchor").distinct().collect()]  # at most one for each window
     places = F.filter(F.transform("_w", lambda w, p: F.struct(w.alias("t"), p.alias("p"))), lambda x: x.t.isin(anchors))
+    # a place carries the words around it, never the whole text
+    places = F.transform(places, lambda x: F.struct(x.t.alias("t"), x.p.alias("p"), F.slice("_w", F.greatest(x.p - size, F.lit(0)) + 1, 2 * size + 1).alias("w")))
     if first:
-        places = F.concat(F.expr("array(named_struct('t', string(null), 'p', int(null)))"), places)
-    at = texts.select("_id", "_h", F.size("_w").alias("n"), "_w", F.explode(places).alias("x"))
-    at = at.select("_id", "_h", "n", F.when(F.col("x.p").isNotNull(), F.col("_w")).alias("_w"), "x.p", "x.t")
-    keys = F.when(F.col("p").isNotNull(), F.expr("array(xxhash64(0, t, get(_w, p + 1)), xxhash64(1, get(_w, p - 1), t), xxhash64(2, t))"))
+        places = F.concat(F.expr("array(named_struct('t', string(null), 'p', int(null), 'w', cast(array() as array<string>)))"), places)
+    at = texts.select("_id", "_h", F.size("_w").alias("n"), F.explode(places).alias("x")).select("_id", "_h", "n", "x.p", "x.t", "x.w")
+    at = at.withColumn("_from", F.greatest(F.col("p") - size, F.lit(0)))  # the word that w begins with
+    keys = F.when(F.col("p").isNotNull(), F.expr("array(xxhash64(0, t, get(w, p - _from + 1)), xxhash64(1, get(w, p - _from - 1), t), xxhash64(2, t))"))
     at = at.withColumn("h", F.explode_outer(keys)).join(F.broadcast(pairs.select("h", "o", "win", "items")), "h", "left").withColumn("s", F.expr("p - o"))
-    fits = F.expr("s >= 0 and s + size(win) <= n") & F.expr("slice(_w, s + 1, size(win)) = win")  # position, length, words
+    fits = F.expr("s >= 0 and s + size(win) <= n") & F.expr("slice(w, s - _from + 1, size(win)) = win")  # position, length, words
     return at.where(F.col("p").isNull() | fits).select("_id", "_h", "n", F.col("p").isNull().alias("itself"), "s", F.expr("s + size(win)").alias("e"), "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    bad = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col(id_col).alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_bad_hash"))
+    """The rows of docs that are not contaminated, with all their columns; nulls, ties, repeated rows and empty tables
+    are as decontaminate has them."""
+    bad_id, bad_hash = fresh(docs, "_bad_id"), fresh(docs, "_bad_hash")
+    bad = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col(id_col).alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    same = docs[id_col].eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(bad_hash))
     return docs.join(bad, same, "left_anti")
