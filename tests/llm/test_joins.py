@@ -37,6 +37,16 @@ def test_license_containment_is_exact(spark):
         assert (r.labels == "five") == (best >= 0.8) and abs(r.score - (best if best >= 0.8 else 0)) < 1e-6
 
 
+def test_license_templates_in_parts(spark, monkeypatch):
+    from tidewater.llm import license_scan as module
+
+    texts = ["MIT License. apache license", None, prose(40, 1) + " released under the mit license " + prose(9, 2), "released under the the mit license " * 30]
+    whole = sorted(license_scan(table(spark, texts)).collect())
+    monkeypatch.setattr(module, "TEMPLATES_AT_ONCE", 3)
+    assert sorted(license_scan(table(spark, texts)).collect()) == whole and whole[3].n_base == 30 and whole[0].n_base == 2
+    assert [r.labels for r in license_scan(table(spark, texts), ()).collect()] == [""] * 4
+
+
 def test_license_awkward_tables(spark):
     docs = awkward(spark)
     rows = license_scan(docs).collect()

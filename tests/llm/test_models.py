@@ -10,10 +10,10 @@ from tokenizers import Tokenizer
 
 from tidewater.llm.ann import nearest
 from tidewater.llm.bpe import Counter, count_tokens, vocabulary_path
-from tidewater.llm.langid import forward_backward, identify_languages
+from tidewater.llm.langid import expected_moves, forward_backward, identify_languages
 from tidewater.llm.packing import Knapsack, pack, solve
-from tidewater.llm.quality import classify_quality, keep_quality
-from tidewater.llm.toxicity import classify_toxicity, drop_toxic
+from tidewater.llm.quality import AdditiveModel, _tree, classify_quality, keep_quality
+from tidewater.llm.toxicity import classify_toxicity, drop_toxic, label_model
 
 from .helpers import awkward, prose, table
 
@@ -126,6 +126,49 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[a : a + n], want / want.sum(1, keepdims=True))
 
 
+def test_expected_moves_are_exact():
+    rng = np.random.default_rng(3)
+    length, k = np.array([4, 3, 1]), 3
+    score, move = rng.standard_normal((8, k)), rng.standard_normal((k, k))
+    p, moves = expected_moves(score, np.array([0, 4, 7]), length, move)
+    want, log_z = np.zeros((k, k)), lambda t: sum(np.log(sum(np.exp(sum(score[a + i, y] for i, y in enumerate(path)) + sum(t[i, j] for i, j in zip(path, path[1:]))) for path in np.ndindex(*[k] * n))) for a, n in zip((0, 4, 7), length))
+    for i, j in np.ndindex(k, k):  # the gradient of the partition function
+        up, down = move.copy(), move.copy()
+        up[i, j] += 1e-5
+        down[i, j] -= 1e-5
+        want[i, j] = (log_z(up) - log_z(down)) / 2e-5
+    assert np.allclose(moves, want, atol=1e-6) and np.allclose(p, forward_backward(score, np.array([0, 4, 7]), length, move))
+
+
+def test_label_model_against_a_plain_one():
+    rng = np.random.default_rng(6)
+    y = rng.random(3000) < 0.4
+    right = np.array([0.95, 0.9, 0.85, 0.8, 0.75])
+    v = np.where(rng.random((3000, 5)) < right, y[:, None], ~y[:, None]).astype(int)
+    v[rng.random((3000, 5)) < 0.1] = -1
+    p, tables = label_model(v, 0.4)
+    assert (np.abs(tables[1, :, 2] / (1 - tables[1, :, 0]) - right) < 0.05).all() and ((p > 0.5) == y).mean() > 0.95
+    for row in range(0, 3000, 97):  # the posterior, by hand
+        says = np.log(0.4 / 0.6) + sum(np.log(tables[1, j, v[row, j] + 1] / tables[0, j, v[row, j] + 1]) for j in range(5))
+        assert abs(1 / (1 + np.exp(-says)) - p[row]) < 0.01
+
+
+def test_trees_and_tables_against_plain_loops():
+    rng = np.random.default_rng(7)
+    g, h = rng.standard_normal(9), rng.random(9) + 0.1
+    best = max(range(1, 9), key=lambda c: g[:c].sum() ** 2 / (h[:c].sum() + 1) + g[c:].sum() ** 2 / (h[c:].sum() + 1))
+    one = _tree(g, h, 1)
+    assert np.allclose(one, [g[:best].sum() / (h[:best].sum() + 1)] * best + [g[best:].sum() / (h[best:].sum() + 1)] * (9 - best))
+    x = rng.standard_normal((400, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    m = AdditiveModel(x, y, rounds=200)
+    assert (0, 1) in m.pairs and ((m.score(x) > 0.5) == y).mean() > 0.93
+    for r in range(0, 400, 41):
+        total = m.base + sum(t[np.searchsorted(e, v, side="right")] for t, e, v in zip(m.tables, m.edges, x[r]))
+        total += sum(t[np.searchsorted(m.coarse[i], x[r, i], side="right"), np.searchsorted(m.coarse[j], x[r, j], side="right")] for (i, j), t in zip(m.pairs, m.pair_tables))
+        assert abs(1 / (1 + np.exp(-total)) - m.score(x[r : r + 1])[0]) < 1e-9
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
