@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LONGEST, apart, vocabulary_path
-from .common import bounded_batches, settle
+from .common import bounded_batches, give_back, settle
 
-#: Parts of texts whose ids a Python worker remembers (about 250 MB).
-REMEMBER = 1_000_000
+#: Parts of texts whose ids a Python worker remembers (about 75 MB). Most parts come once; those that come often come soon.
+REMEMBER = 300_000
 #: Rounds of multiplicative weights, further rounds for what lags behind at the end, the weights' rate, and the share of
 #: the largest price that a configuration needs.
 ROUNDS, LAST, RATE, CLOSE = 20, 10, 8.0, 0.99
@@ -108,6 +108,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str
                     rows.append((key, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), task, seen[b - a]))
                     seen[b - a] += 1
             yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "task", "number"]).astype({"_id": batch["_id"].dtype})
+        give_back()
 
     # ids go as strings: pandas would turn a column of longs with nulls into floats
     texts = bounded_batches(docs).select(F.col(id_col).cast("string").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "punctuation", "exclaim", "bar", "symbols", "digits", "non_ascii",
@@ -183,6 +183,7 @@ def quality_score(docs: DataFrame, model: AdditiveModel, text_col: str = "text")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(shared.value.score(np.stack([features(t) for t in batch]))) if len(batch) else pd.Series([], dtype=float)
+        give_back()
 
     return score(F.coalesce(F.col(text_col), F.lit("")))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Remembered
-from .common import bounded_batches, words, words_of
+from .common import bounded_batches, give_back, words, words_of
 from .quality import fold, labelled, unlabelled
 
 #: Labelled rows, and as many others, that voters and models are fitted on at most; lexicon entries at
@@ -131,7 +131,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 100) -> tuple[np.ndar
         if turn == 20:  # before, labels are vague, and then all voters seem correlated
             rest = hot[:, :, 2] - np.stack([1 - p, p], 1) @ np.stack([t[:, 2] for t in tables])
             cov = rest.T @ rest
-            s = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+            s = np.sqrt(np.maximum(np.diag(cov), 1.0))  # of counts: what hardly varies is not correlated
             corr = np.abs(cov / s[:, None] / s[None, :])
             np.fill_diagonal(corr, 0)
             weight = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(1))
@@ -194,6 +194,8 @@ def toxicity_score(docs: DataFrame, model: Model, text_col: str = "text") -> Col
         for batch in texts:
             z = measure(batch.tolist(), known) @ m.weights + m.bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        known.clear()
+        give_back()
 
     return score(F.coalesce(F.col(text_col), F.lit("")))
 
