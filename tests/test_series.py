@@ -28,10 +28,10 @@ def same(got, want, by=("symbol", "ts")):
 
 
 def test_numbers_and_chunks(spark, bars):
-    d = numbered(spark.createDataFrame(bars), bucket="day")
+    d = numbered(spark.createDataFrame(bars), bucket="day", of="of")
     want = bars.assign(rn=bars.groupby("symbol").cumcount())
     same(d.select("symbol", "ts", "rn").toPandas(), want[["symbol", "ts", "rn"]])
-    cut = chunked(d, back=5, ahead=3, size=50)
+    cut = chunked(d, back=5, ahead=3, size=50, of="of")
     assert cut.where("_own").count() == len(bars) and cut.where("not _own").count() == 7 * 5 + 7 * 3
 
 
@@ -57,6 +57,14 @@ def test_running_and_carry(spark, bars):
     same(d, x.assign(top=g["close"].cummax(), n=g["one"].cumsum(), last=g["v"].ffill())[["symbol", "ts", "top", "n", "last"]])
 
 
+def test_no_row_is_lost(spark):
+    rows = [(None, "2024-01-01", 1.0), ("a", None, 2.0), ("a", "2024-01-02", float("nan")), ("a", "2024-02-02", 4.0), (None, "2024-03-01", 5.0)]
+    d = spark.createDataFrame(rows, "symbol string, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+    d = carry_last(running(ewm(numbered(d).withColumn("w", F.lit(1.0)), {"e": ("w", 0.5)}), {"top": ("max", "v")}, size=2), {"v": "last"}, size=2)
+    got = {(r.symbol, r.rn): (r.e, r.top, r["last"]) for r in d.collect()}
+    assert got == {(None, 0): (1.0, 1.0, 1.0), (None, 1): (1.0, 5.0, 5.0), ("a", 0): (1.0, 2.0, 2.0), ("a", 1): (1.0, 2.0, 2.0), ("a", 2): (1.0, 4.0, 4.0)}
+
+
 def test_cooldown(spark, bars):
     events = bars[bars["close"].mul(1000).astype(int) % 3 == 0]
     d = numbered(spark.createDataFrame(bars)).join(spark.createDataFrame(events[["symbol", "ts"]]), ["symbol", "ts"])

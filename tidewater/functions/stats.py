@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.ordered import missing_as_null
+
 
 def order_buckets(df: DataFrame, x: str, buckets: int = 64) -> DataFrame:
     """Adds _b, a number that grows with x: buckets between approximate quantiles (a short list on the driver)."""
@@ -18,6 +20,7 @@ def order_buckets(df: DataFrame, x: str, buckets: int = 64) -> DataFrame:
 def average_ranks(df: DataFrame, x: str, out: str = "rank") -> DataFrame:
     """Adds ranks from 1, ties sharing their mean. Values are counted first and summed up in two steps, so no task
     sorts all rows."""
+    df = missing_as_null(df, [x])
     values = order_buckets(df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("_n")), x)
     inner = Window.partitionBy("_b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     sums = values.groupBy("_b").agg(F.sum("_n").alias("_s"))
@@ -29,12 +32,14 @@ def average_ranks(df: DataFrame, x: str, out: str = "rank") -> DataFrame:
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """The probability that a row of label 1 scores above one of label 0, ties counting half."""
+    df = missing_as_null(df, [score, label])
     r = average_ranks(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()), score, "_rank")
     pos, neg = F.sum(label), F.sum(1 - F.col(label))
     return r.agg(pos.alias("n_pos"), neg.alias("n_neg"), F.sum(F.when(F.col(label) == 1, F.col("_rank"))).alias("_s")).select("n_pos", "n_neg", ((F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    df = missing_as_null(df, [a, b])
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     return average_ranks(average_ranks(both, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("ic"))
 

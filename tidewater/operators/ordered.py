@@ -4,35 +4,54 @@ A series is numbered in two steps: within calendar buckets, and over the counts
 into chunks of equal size; rows near an edge also go to the neighbouring chunk, so that a window of `back` rows before
 and `ahead` rows after stays within a chunk. A symbol that holds a third of all rows is then as many tasks as it has
 chunks.
+
+A null symbol is a series of its own, and a null ts comes first in its series. NaN counts as missing, as null does.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK = 50_000
 
 
-def numbered(df: DataFrame, by: str = "symbol", order: tuple[str, ...] = ("ts",), bucket: str = "month", out: str = "rn") -> DataFrame:
-    """Adds the number of each row in its series, from 0, in the order given (which has to be total)."""
+def missing_as_null(df: DataFrame, columns) -> DataFrame:
+    """NaN as null in those of the columns that are floating."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in dict.fromkeys(columns) if kinds.get(c) in ("double", "float")})
+
+
+def same_series(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """df joined with other on equal keys, where nulls are equal too."""
+    right = other.select([F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in other.columns])
+    match = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return df.join(right, reduce(lambda a, b: a & b, match), how).drop(*[f"_on_{c}" for c in on])
+
+
+def numbered(df: DataFrame, by: str = "symbol", order: tuple[str, ...] = ("ts",), bucket: str = "month", out: str = "rn", of: str | None = None) -> DataFrame:
+    """Adds the number of each row in its series, from 0, in the order given (which has to be total); of: a name for
+    the length of its series, if wanted."""
     cut = df.withColumn("_bucket", F.date_trunc(bucket, order[0]))
     inner = Window.partitionBy(by, "_bucket").orderBy(*order)
     placed = cut.withColumn("_r", F.row_number().over(inner))
     counts = cut.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    joined = placed.join(starts, [by, "_bucket"])
+    starts = counts.select(by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), *([F.sum("_n").over(Window.partitionBy(by)).alias(of)] if of else []))
+    joined = same_series(placed, starts, [by, "_bucket"])
     return joined.withColumn(out, F.col("_start") + F.col("_r") - 1).drop("_bucket", "_r", "_start")
 
 
-def chunked(df: DataFrame, back: int = 0, ahead: int = 0, size: int = CHUNK, rn: str = "rn") -> DataFrame:
-    """Adds _chunk and _own: rows that only lend their values to a neighbouring chunk are not its own."""
+def chunked(df: DataFrame, back: int = 0, ahead: int = 0, size: int = CHUNK, rn: str = "rn", of: str | None = None) -> DataFrame:
+    """Adds _chunk and _own: rows that only lend their values to a neighbouring chunk are not its own. of: the column of
+    the series' length, if there is one; with it no rows go to a chunk past the series' end."""
     size = max(size, back, ahead)
     at, k = F.pmod(F.col(rn), F.lit(size)), F.floor(F.col(rn) / size)
     places = [F.struct(k.alias("c"), F.lit(True).alias("own"))]
     if back:
-        places.append(F.when(at >= size - back, F.struct((k + 1).alias("c"), F.lit(False).alias("own"))))
+        places.append(F.when((at >= size - back) & (F.lit(True) if of is None else F.col(of) > (k + 1) * size), F.struct((k + 1).alias("c"), F.lit(False).alias("own"))))
     if ahead:
         places.append(F.when((at < ahead) & (k > 0), F.struct((k - 1).alias("c"), F.lit(False).alias("own"))))
     each = F.explode(F.array_compact(F.array(*places)))
@@ -46,8 +65,8 @@ def along(by: str = "symbol", rn: str = "rn") -> WindowSpec:
 
 def windowed(df: DataFrame, columns: dict[str, Column], back: int = 0, ahead: int = 0, by: str = "symbol", order: tuple[str, ...] = ("ts",), size: int = CHUNK) -> DataFrame:
     """Adds columns that look at `back` rows before and `ahead` rows after their own, over along(by)."""
-    ready = df if "rn" in df.columns else numbered(df, by, order)
-    cut = chunked(ready, back, ahead, size)
+    df = missing_as_null(df, df.columns)
+    cut = chunked(df, back, ahead, size) if "rn" in df.columns else chunked(numbered(df, by, order, of="_of"), back, ahead, size, of="_of").drop("_of")
     for name, column in columns.items():
         cut = cut.withColumn(name, column)
     return cut.where("_own").drop("_own", "_chunk")
@@ -134,12 +153,12 @@ def streaks(df: DataFrame, flag: str, out: str = "streak", by: str = "symbol", o
 def carry_last(df: DataFrame, columns: dict[str, str], by: str = "symbol", size: int = CHUNK, before: bool = False) -> DataFrame:
     """Adds for each column (name: new name) its last non-null value up to the row (or before it): within chunks, and
     from the last chunk that has one."""
-    cut = df.withColumn("_chunk", F.floor(F.col("rn") / size))
+    cut = missing_as_null(df, columns).withColumn("_chunk", F.floor(F.col("rn") / size))
     ends = cut.groupBy(by, "_chunk").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("rn"))).alias(f"_e_{c}") for c in columns])
     earlier = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(by, "_chunk", *[F.last(f"_e_{c}", True).over(earlier).alias(f"_c_{c}") for c in columns])
     w = along(by).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    out = cut.join(ends, [by, "_chunk"])
+    out = same_series(cut, ends, [by, "_chunk"])
     for c, new in columns.items():
         out = out.withColumn(new, F.coalesce(F.last(c, True).over(w), F.col(f"_c_{c}")))
     return out.drop("_chunk", *[f"_c_{c}" for c in columns])
@@ -148,13 +167,13 @@ def carry_last(df: DataFrame, columns: dict[str, str], by: str = "symbol", size:
 def running(df: DataFrame, columns: dict[str, tuple[str, str]], by: str = "symbol", size: int = CHUNK) -> DataFrame:
     """Adds running aggregates, new name: (aggregate, column) with max, min, sum or count, up to and with the row."""
     fn = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, None), "count": (F.count, None)}
-    cut = df.withColumn("_chunk", F.floor(F.col("rn") / size))
+    cut = missing_as_null(df, [c for _, c in columns.values()]).withColumn("_chunk", F.floor(F.col("rn") / size))
     parts = cut.groupBy(by, "_chunk").agg(*[fn[a][0](c).alias(f"_p_{new}") for new, (a, c) in columns.items()])
     earlier = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     again = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
     parts = parts.select(by, "_chunk", *[again[a](f"_p_{new}").over(earlier).alias(f"_c_{new}") for new, (a, _) in columns.items()])
     w = along(by).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(parts, [by, "_chunk"])
+    out = same_series(cut, parts, [by, "_chunk"])
     for new, (a, c) in columns.items():
         here, carried = fn[a][0](c).over(w), F.col(f"_c_{new}")
         both = fn[a][1](here, carried) if fn[a][1] else F.coalesce(here, F.lit(0)) + F.coalesce(carried, F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import CHUNK, numbered
+from .ordered import CHUNK, numbered, same_series
 
 
 def ewm(df: DataFrame, means: dict[str, tuple[str, float]], by: str = "symbol", order: tuple[str, ...] = ("ts",), size: int = CHUNK) -> DataFrame:
@@ -64,9 +64,9 @@ def ewm(df: DataFrame, means: dict[str, tuple[str, float]], by: str = "symbol",
     end_type = f"{by} {key}, _chunk long, " + ", ".join(f"{n}_n long, {n}_b double, {n}_f double" for n in names)
     start_type = f"{by} {key}, _chunk long, " + ", ".join(f"_s_{n} double" for n in names)
     starts = rows.groupBy(by, "_chunk").applyInPandas(ends, end_type).groupBy(by).applyInPandas(compose, start_type)
-    scanned = rows.join(starts, [by, "_chunk"]).groupBy(by, "_chunk").applyInPandas(means_of, f"{by} {key}, rn long, " + ", ".join(f"{n} double" for n in names))
+    scanned = same_series(rows, starts, [by, "_chunk"]).groupBy(by, "_chunk").applyInPandas(means_of, f"{by} {key}, rn long, " + ", ".join(f"{n} double" for n in names))
     clean = scanned.select(by, "rn", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
-    return ready.join(clean, [by, "rn"])
+    return same_series(ready, clean, [by, "rn"])
 
 
 def cooldown(events: DataFrame, gap: int, by: str = "symbol", rn: str = "rn") -> DataFrame:
