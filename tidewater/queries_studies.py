@@ -54,7 +54,7 @@ def opening_range_break(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bracket_sql(stop_first: bool) -> str:
     stop, target = "b.low <= e.close - 20000", "b.high >= e.close + 40000"
     hit = f"CASE WHEN {stop} THEN 'stop' WHEN {target} THEN 'target' END" if stop_first else f"CASE WHEN {target} THEN 'target' WHEN {stop} THEN 'stop' END"
-    return f"""{_D}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM daily), e AS (SELECT * FROM n WHERE rn % 10 = 0),
+    return f"""{_D}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM daily), e AS (SELECT * FROM n),
 m AS (SELECT e.symbol, e.rn AS id, e.close AS price, b.rn, b.close, {hit} AS hit FROM e JOIN n b ON b.symbol = e.symbol AND b.rn > e.rn AND b.rn <= e.rn + 30),
 g AS (SELECT symbol, id, min(rn) FILTER (hit IS NOT NULL) AS x, arg_min(hit, rn) FILTER (hit IS NOT NULL) AS hit, max(rn) AS last, arg_max(close, rn) AS close, any_value(price) AS price FROM m GROUP BY 1, 2)
 SELECT symbol, id, coalesce(hit, 'timeout') AS outcome, coalesce(x, last) AS exit_rn, round(CASE hit WHEN 'stop' THEN -1.0 WHEN 'target' THEN 2.0 ELSE (close - price) / 20000 END, 4)::DOUBLE AS made FROM g"""
@@ -62,7 +62,7 @@ SELECT symbol, id, coalesce(hit, 'timeout') AS outcome, coalesce(x, last) AS exi
 
 def _brackets(spark: SparkSession, sf_dir: str, stop_first: bool) -> DataFrame:
     d = numbered(daily(spark, sf_dir))
-    e = d.where("rn % 10 = 0").select("symbol", F.col("rn").alias("id"), (F.col("rn") + 1).alias("at"), F.col("close").alias("price"), F.lit(20000.0).alias("risk"), F.lit(40000.0).alias("reward"))
+    e = d.select("symbol", F.col("rn").alias("id"), (F.col("rn") + 1).alias("at"), F.col("close").alias("price"), F.lit(20000.0).alias("risk"), F.lit(40000.0).alias("reward"))
     return brackets(d, e, 30, stop_first).select("symbol", "id", "outcome", "exit_rn", r4("made").alias("made"))
 
 
@@ -212,12 +212,12 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("symbol", *[F.round(c, 2).alias(c) for c in ("lo", "mid", "hi")])
 
 
-@query(f"""{_D}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM daily), a AS (SELECT * FROM n WHERE rn % 25 = 0), h AS (SELECT unnest([2, 4, 8, 16]) AS h),
+@query(f"""{_D}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM daily), a AS (SELECT * FROM n), h AS (SELECT unnest([2, 4, 8, 16, 32, 96]) AS h),
 f AS (SELECT a.symbol, a.rn AS id, h, a.close AS p0, count(*) AS n, max(b.high) AS hi, min(b.low) AS lo, arg_max(b.close, b.rn) AS p1, arg_max(b.rn, (b.high, -b.rn)) - a.rn AS t_mfe, arg_max(b.rn, (-b.low, -b.rn)) - a.rn AS t_mae
  FROM a JOIN h ON true JOIN n b ON b.symbol = a.symbol AND b.rn > a.rn AND b.rn <= a.rn + h GROUP BY 1, 2, 3, 4)
 SELECT symbol, id, h, round(ln(p1 / p0), 6) AS r, round(hi / p0 - 1, 6) AS mfe, round(lo / p0 - 1, 6) AS mae, t_mfe, t_mae FROM f WHERE n = h""")
 def fingerprint_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fingerprint(numbered(daily(spark, sf_dir)), F.col("rn") % 25 == 0, (2, 4, 8, 16))
+    f = fingerprint(numbered(daily(spark, sf_dir)), F.lit(True), (2, 4, 8, 16, 32, 96))
     return f.select("symbol", F.col("rn").alias("id"), "h", *[F.round(c, 6).alias(c) for c in ("r", "mfe", "mae")], "t_mfe", "t_mae")
 
 
