@@ -108,6 +108,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str
                     rows.append((key, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), task, seen[b - a]))
                     seen[b - a] += 1
             yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "task", "number"]).astype({"_id": batch["_id"].dtype})
+        encode.known.clear()
         give_back()
 
     # ids go as strings: pandas would turn a column of longs with nulls into floats
