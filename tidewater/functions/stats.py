@@ -30,6 +30,27 @@ def average_ranks(df: DataFrame, x: str, out: str = "rank") -> DataFrame:
     return df.join(ranked, df[x] == ranked["_x"], "left").drop("_x")
 
 
+def exact_quantiles(df: DataFrame, x: str, shares: list[float]) -> list[float | None]:
+    """Quantiles by linear interpolation. Values are counted first and placed in buckets, so no task sees all rows; two
+    values for each share come to the driver."""
+    df = missing_as_null(df, [x])
+    values = order_buckets(df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("_n")), x)
+    sums = [(r["_b"], r["_s"]) for r in values.groupBy("_b").agg(F.sum("_n").alias("_s")).orderBy("_b").collect()]  # a row for each bucket
+    n, starts = 0, []
+    for b, s in sums:
+        starts += [F.lit(b), F.lit(n).cast("long")]
+        n += s
+    if not n:
+        return [None] * len(shares)
+    at = [q * (n - 1) for q in shares]
+    ranks = sorted({r for a in at for r in (math.floor(a), math.ceil(a))})
+    low = F.create_map(*starts)[F.col("_b")] + F.coalesce(F.sum("_n").over(Window.partitionBy("_b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = values.withColumn("_low", low)
+    held = F.filter(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda k: (k >= F.col("_low")) & (k < F.col("_low") + F.col("_n")))
+    of = {r["k"]: r["v"] for r in placed.select(F.col(x).alias("v"), F.explode(held).alias("k")).collect()}
+    return [of[math.floor(a)] + (of[math.ceil(a)] - of[math.floor(a)]) * (a - math.floor(a)) for a in at]
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """The probability that a row of label 1 scores above one of label 0, ties counting half."""
     df = missing_as_null(df, [score, label])
