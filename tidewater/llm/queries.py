@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
 from .bpe import count_tokens
+from .bpe_sql import round_trip
+from .centroids import cluster
 from .chat import format_chats
 from .decontaminate import decontaminate
 from .langid import identify_languages
 from .license_scan import TEMPLATES, license_scan
 from .near_dup import near_duplicates
 from .packing import pack
+from .periodic import collapse_runs
 from .quality import classify_quality
 from .toxicity import classify_toxicity
 
@@ -62,6 +65,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_languages": op8_languages,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_centroids": op13_centroids,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
