@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 
 from .common import Scratch, bounded_batches, fresh, give_back
 
+#: Components beyond this have no squared distance that a long or a decimal of 38 digits could hold.
+BEYOND = 1e15
 #: Vectors in a tree, and in a leaf.
 BLOCK, LEAF = 8192, 16
 #: Largest component for which a block is reckoned in doubles: 2 * dims * (2 * SMALL) ** 2 stays below 2 ** 53 up to 1024 dims.
@@ -238,11 +240,11 @@ def cluster(
 ) -> DataFrame:
     """One row for each vector that takes part: id, cluster, distance (squared), cluster_inertia, inertia, centroid_sha256.
 
-    Vectors of dims components take part if none is null or non-finite; components become floor(scale * x). Centroids
+    Vectors of dims components take part if none is null, non-finite or beyond 1e15; components become floor(scale * x). Centroids
     start as the k vectors with the smallest sha256 of "seed:id" (of equal ids the smaller vector; null ids last), or as
     all if they are fewer. Each round assigns every vector to its nearest centroid (ties: the smaller number) and replaces
     centroids by their vectors' componentwise floor(sum / count); those without vectors stay. Rows that repeat an id or a
-    vector each count. No vectors, no rows. Components of any size are exact; a squared distance, or a sum of them, that no
+    vector each count. No vectors, no rows. Components are exact; a squared distance, or a sum of them, that no
     long holds is null. Other columns are not read. Ids must be whole numbers.
 
     Work of a round: one pass over the trees, without a shuffle of vectors. The driver keeps k centroids.
@@ -250,8 +252,7 @@ def cluster(
     scratch = Scratch(vectors.sparkSession)
     number = fresh(vectors, "_vector")
     whole = F.col(vector_col).cast("array<double>")
-    # NaN and the infinities are the values that differ from themselves once taken from themselves
-    sound = (F.size(whole) == dims) & ~F.exists(whole, lambda x: x.isNull() | F.isnan(x - x))
+    sound = (F.size(whole) == dims) & ~F.exists(whole, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > BEYOND))
     kept = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias(id_col), whole.alias(number))
     name = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
     first = kept.select(number, name.alias("_name")).orderBy(F.col("_name").asc_nulls_last(), number).limit(k).collect()
