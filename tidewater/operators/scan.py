@@ -2,7 +2,7 @@
 
 Exponential means are affine in what comes before, so a series is cut into chunks: each is scanned as if it began with
 nothing, the ends of the chunks are composed (one row for each chunk), and each is scanned again from its true start.
-Recurrences without such a form are scanned series by series.
+Recurrences without such a form are chained: see tidewater.operators.chain.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chain import SIZE, chained
 from .ordered import CHUNK, numbered, same_series
 
 
@@ -91,30 +92,27 @@ def cooldown(events: DataFrame, gap: int, by: str = "symbol", rn: str = "rn") ->
     return grouped.groupBy(by, "_group").applyInPandas(keep, schema).drop("_group").withColumnRenamed("_at", rn)
 
 
-def ratchet(df: DataFrame, upper: str, lower: str, close: str, by: str = "symbol") -> DataFrame:
+def ratchet(df: DataFrame, upper: str, lower: str, close: str, by: str = "symbol", size: int = SIZE) -> DataFrame:
     """Adds line and direction of a trailing band: a bound only moves towards the price until the price closes beyond
-    it, which turns the direction. One scan for each series; rows without bounds give null."""
-    schema = T.StructType([*df.schema.fields, T.StructField("line", T.DoubleType()), T.StructField("direction", T.DoubleType())])
+    it, which turns the direction. Rows without bounds give null, and the band starts anew after them. df: numbered. A
+    band soon forgets where it started, so chunks of a series are scanned at the same time."""
+    schema = T.StructType([df.schema[by], *[f for f in df.schema.fields if f.name != by], T.StructField("line", T.DoubleType()), T.StructField("direction", T.DoubleType())])
 
-    def scan(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rn")
-        up = down = price = way = np.nan
+    def scan(g: pd.DataFrame, state: list, last: bool) -> tuple[pd.DataFrame, list]:
+        up, down, way, price = state
         lines, ways = [], []
-        for u, d, c in zip(g[upper], g[lower], g[close]):
-            if np.isnan(u) or np.isnan(d) or np.isnan(c):
-                up = down = way = np.nan
-                lines.append(None), ways.append(None)
+        for u, d, c in zip(g[upper].tolist(), g[lower].tolist(), g[close].tolist()):
+            if u is None or d is None or c is None or not (u == u and d == d and c == c):
+                up = down = way = None
+            elif up is None:
+                up, down, way = u, d, 1.0 if c > u else -1.0
             else:
-                if np.isnan(up):
-                    way = 1.0 if c > u else -1.0
-                    up, down = u, d
-                else:
-                    way = 1.0 if c > up else -1.0 if c < down else way
-                    up = u if u < up or price > up else up
-                    down = d if d > down or price < down else down
-                lines.append(down if way > 0 else up), ways.append(way)
-            price = c
-        return g.assign(line=lines, direction=ways).astype({"line": float, "direction": float})
-
-    out = df.groupBy(by).applyInPandas(scan, schema)
+                way = 1.0 if c > up else -1.0 if c < down else way
+                up = u if u < up or (price is not None and price > up) else up
+                down = d if d > down or (price is not None and price < down) else down
+            lines.append(None if way is None else down if way > 0 else up), ways.append(way)
+            price = c if c is not None and c == c else None
+        return g.assign(line=lines, direction=ways).astype({"line": float, "direction": float}), [up, down, way, price]
+
+    out = chained(df, scan, [None] * 4, schema, by, size).select(*df.columns, "line", "direction")
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("line", "direction")})
