@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 from .bpe import LONGEST, vocabulary_path
 from .common import bounded_batches, give_back
 
-#: Words that a task remembers, words of texts taken at once, bytes of words in one query, rows of all its turns, and
+#: Words that a task remembers before it starts anew (words met since then come back from what it had), words of texts taken at once, bytes of words in one query, rows of all its turns, and
 #: bytes from which a word is cut.
-REMEMBER, MATCHES, BYTES, ROWS, CUT = 600_000, 400_000, 1 << 19, 1 << 24, 64
+REMEMBER, MATCHES, BYTES, ROWS, CUT = 500_000, 400_000, 1 << 19, 1 << 24, 64
 
 _MERGES = """
 CREATE TABLE merges AS
@@ -95,7 +95,8 @@ class Codec:
         for b in ranks:
             if len(b) > 1:
                 self.beside[np.frombuffer(b[:-1], np.uint8), np.frombuffer(b[1:], np.uint8)] = True
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _pieces(self, word: bytes) -> list[bytes]:
         """The parts of a long word that merges cannot join."""
@@ -151,17 +152,18 @@ class Codec:
 
     def encode(self, words: list[list[str]]) -> list[np.ndarray]:
         """Tokens of texts that are given as their words. Short words are remembered."""
-        known = self.known
-        fresh = self.words(set().union(*words).difference(known))
-        if fresh:
-            if len(known) + len(fresh) > REMEMBER:
-                known = self.known = {}
-                fresh = self.words(set().union(*words))
-            known |= fresh
-        out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in words]
+        young, old = self.young, self.old
+        missing = set().union(*words).difference(young)
+        back = missing.intersection(old)
+        young |= {w: old[w] for w in back}
+        fresh = self.words(missing - back)
+        young |= fresh
+        out = [np.frombuffer(b"".join(map(young.__getitem__, ws)), np.int32) for ws in words]
         for word in fresh:
             if len(word) > LONGEST:
-                del known[word]
+                del young[word]
+        if len(young) > REMEMBER:
+            self.old, self.young = young, {}
         return out
 
     def decode(self, texts: list[np.ndarray]) -> list[bytes]:
