@@ -40,6 +40,7 @@ class Rules:
     allow_short: bool = True
     reverse: bool = False
     one_trade_per_day: bool = False
+    rest_a_bar: bool = False  # no entry on the bar of an exit
     flat_hour: int | None = None
     max_hold: int | None = None
     trail_after_r: float | None = None
@@ -138,8 +139,8 @@ def _run(rules: Rules):
                 break
             j, reason, price = found or (bars.n - 1, "eod", bars.close[-1])
             out.append((p["side"], p["at"], bars.rn[j], p["ts"], bars.ts[j], p["price"], price, p["risk"], p["mae"], p["mfe"], reason, p["stop"], p["target"], p["spread"] + bars.spread[j]))
-            taken, i = p["day"] if rules.one_trade_per_day else None, j
-            p, i = (bars.entry(j, True), j + 1) if reason == "reverse" else (None, j)
+            taken = p["day"] if rules.one_trade_per_day else None
+            p, i = (bars.entry(j, True), j + 1) if reason == "reverse" else (None, j + rules.rest_a_bar)
             if reason == "eod":
                 break
         names = [c.split()[0] for c in WAY.split(", ")]

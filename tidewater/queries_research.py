@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.stats import auc, exact_quantiles
-from .operators.ordered import along, lag, missing_as_null, numbered, rolling_std, same_series, sma, windowed
+from .functions.models import auc_by
+from .functions.stats import exact_quantiles
+from .operators.ordered import along, lag, numbered, rolling_std, same_series, sma, windowed
 from .operators.positions import martingale, position_pnl
 from .operators.quotes import clean_quotes, quote_bars
 from .operators.resample import to_bars
@@ -158,15 +159,9 @@ a AS (SELECT feature, count(*) AS n, sum(won) AS p, count(DISTINCT x) AS kinds,
 SELECT feature, n, CASE WHEN n >= 500 AND kinds >= 3 THEN round((s - p * (p + 1) / 2.0) / (p * (n - p)), 6) END AS auc FROM a""")
 def feature_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each feature alone ranks rising closes; null with fewer than 500 rows or three values."""
-    d = _features(spark, sf_dir)
-    out = None
-    for name in _FEATURES:
-        one = missing_as_null(d.select("won", F.col(name).alias("x")), ["x"]).where("x is not null")
-        varied = one.select("x").distinct().limit(3).count() == 3
-        a = auc(one, "x", "won").withColumn("n", F.col("n_pos") + F.col("n_neg"))
-        row = a.select(F.lit(name).alias("feature"), "n", F.when((F.col("n") >= 500) & F.lit(varied), _r("auc")).alias("auc"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    long = _features(spark, sf_dir).unpivot("won", list(_FEATURES), "feature", "x")
+    a = auc_by(long, ["feature"], "x", "won")
+    return a.select("feature", "n", F.when((F.col("n") >= 500) & (F.col("n_distinct") >= 3), _r("auc")).alias("auc"))
 
 
 @query(f"""{_D}, p AS (SELECT *, CASE WHEN count(*) OVER w = 20 THEN close > avg(close) OVER w END AS pred, lead(close) OVER {_PREV} > close AS up FROM daily WINDOW w AS {rows_before(20)}),

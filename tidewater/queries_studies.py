@@ -85,14 +85,14 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUN = f"""{_D.replace("WITH", "WITH RECURSIVE", 1)}, s AS (SELECT *, CASE WHEN count(close) OVER w = 20 THEN avg(close) OVER w END AS sma FROM daily WINDOW w AS {rows_before(20)}),
 l AS (SELECT *, lag(close) OVER o AS c1, lag(sma) OVER o AS s1, row_number() OVER o - 1 AS r FROM s WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
 b AS MATERIALIZED (SELECT symbol, r, open, high, low, close, coalesce(lag(CASE WHEN close > sma AND c1 <= s1 THEN 1 WHEN close < sma AND c1 >= s1 THEN -1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY r), 0) AS asked FROM l),
-z AS (SELECT symbol, r, 0 AS side, r AS at, open AS price, NULL::VARCHAR AS hit, 0 AS was, r AS was_at, open AS was_price, open AS out FROM b WHERE r = 0
-UNION ALL SELECT symbol, r, CASE WHEN side = 0 OR hit IS NOT NULL THEN asked ELSE side END, CASE WHEN side = 0 OR hit IS NOT NULL THEN r ELSE at END, CASE WHEN side = 0 OR hit IS NOT NULL THEN open ELSE price END,
- hit, side, at, price, CASE hit WHEN 'stop' THEN price - side * 20000 WHEN 'target' THEN price + side * 40000 ELSE open END
- FROM (SELECT b.*, z.side, z.at, z.price, CASE WHEN z.side = 0 THEN NULL WHEN (z.side > 0 AND b.low <= z.price - 20000) OR (z.side < 0 AND b.high >= z.price + 20000) THEN 'stop'
+z AS (SELECT symbol, r, 0 AS side, r AS since, open AS price, NULL::VARCHAR AS hit, 0 AS was, r AS was_at, open AS was_price, open AS out FROM b WHERE r = 0
+UNION ALL SELECT symbol, r, CASE WHEN side = 0 OR hit IS NOT NULL THEN asked ELSE side END, CASE WHEN side = 0 OR hit IS NOT NULL THEN r ELSE since END, CASE WHEN side = 0 OR hit IS NOT NULL THEN open ELSE price END,
+ hit, side, since, price, CASE hit WHEN 'stop' THEN price - side * 20000 WHEN 'target' THEN price + side * 40000 ELSE open END
+ FROM (SELECT b.*, z.side, z.since, z.price, CASE WHEN z.side = 0 THEN NULL WHEN (z.side > 0 AND b.low <= z.price - 20000) OR (z.side < 0 AND b.high >= z.price + 20000) THEN 'stop'
    WHEN (z.side > 0 AND b.high >= z.price + 40000) OR (z.side < 0 AND b.low <= z.price - 40000) THEN 'target' WHEN b.asked = -z.side THEN 'reverse' END AS hit FROM z JOIN b ON b.symbol = z.symbol AND b.r = z.r + 1)),
 e AS (SELECT symbol, arg_max(close, r) AS close, max(r) AS r FROM b GROUP BY 1),
 c AS (SELECT symbol, was AS side, was_at AS entry_i, r AS exit_i, was * (out - was_price) AS gross_pnl, hit AS exit_reason FROM z WHERE hit IS NOT NULL
-UNION ALL SELECT symbol, side, at, r, side * (e.close - price), 'eod' FROM z JOIN e USING (symbol, r) WHERE side <> 0),
+UNION ALL SELECT symbol, side, since, r, side * (e.close - price), 'eod' FROM z JOIN e USING (symbol, r) WHERE side <> 0),
 m AS (SELECT *, 1e6 + sum(gross_pnl - 10.08) OVER (PARTITION BY symbol ORDER BY exit_i, entry_i) AS equity FROM c),
 t AS (SELECT m.*, 10.08 AS cost, gross_pnl - 10.08 AS net_pnl FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.symbol = m.symbol AND o.equity <= 0 AND (o.exit_i, o.entry_i) < (m.exit_i, m.entry_i)))"""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions.indicators import add_indicators
 from .functions.patterns import CANDLES, candle_columns
 from .operators.ordered import along, carry_last, forward_max, forward_min, lag, numbered, rank_pct, rolling_median, running, sma, streaks, windowed, zscore
+from .operators.ranks import above_quantile, earlier_ranks, share_below
 from .operators.scan import cooldown
 from .registry import DAILY, query, r4, rows_before, secs
 from .sources.market import daily
@@ -67,12 +68,17 @@ def rolling_rank_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_D}, e AS (SELECT *, quantile_cont(close, 1.0 / 3) OVER w AS q1, quantile_cont(close, 2.0 / 3) OVER w AS q2, count(close) OVER w AS n FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT {_T}, CASE WHEN n >= 200 THEN (close > q1)::INT + (close > q2)::INT END AS bucket FROM e""")
 def expanding_tercile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tercile of a value among all earlier ones: daily series only, as an exact expanding quantile has no chunks."""
-    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = F.percentile("close", F.array(F.lit(1 / 3), F.lit(2 / 3))).over(w)
-    d = daily(spark, sf_dir).withColumn("q", cuts).withColumn("n", F.count("close").over(w))
-    above = sum((F.coalesce(F.col("close") > F.col("q")[i], F.lit(False)).cast("int") for i in range(2)), F.lit(0))
-    return d.select("symbol", secs("ts").alias("t"), F.when(F.col("n") >= 200, above).alias("bucket"))
+    """The tercile of a value among all earlier ones."""
+    d = earlier_ranks(daily(spark, sf_dir), "close")
+    above = sum((above_quantile(k / 3, "close").cast("int") for k in (1, 2)), F.lit(0))
+    return d.select("symbol", secs("ts").alias("t"), F.when(F.col("n_before") >= 200, above).alias("bucket"))
+
+
+@query(f"""{_D}, l AS (SELECT *, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM daily)
+SELECT {_T}, round(CASE WHEN len(l) >= 100 THEN len(list_filter(l, lambda x: x < close)) / len(l) END, 6) AS share FROM l""")
+def expanding_share_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of earlier values that are smaller."""
+    return earlier_ranks(daily(spark, sf_dir), "close").select("symbol", secs("ts").alias("t"), F.round(share_below(100), 6).alias("share"))
 
 
 @query(f"{_D} SELECT {_T}, round((close - {_n('close', 156, 'avg(close) OVER w156', 78)}) / {_n('close', 156, 'stddev_samp(close) OVER w156', 78)}, 4) AS z FROM daily WINDOW w156 AS {rows_before(156)}")
