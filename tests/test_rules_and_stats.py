@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions.stats import auc, average_ranks, benjamini_hochberg, bootstrap_mean, chi_square_sf, normal_two_sided, stratified_effect
+from tidewater.functions.resample import bootstrap_mean
+from tidewater.functions.stats import auc, average_ranks, benjamini_hochberg, chi_square_sf, normal_two_sided, stratified_effect
 from tidewater.plans.rules import compile_group, compile_rule, in_hours, signals
 from tidewater.sources.market import event_schedule, load_bars
 from tidewater.sources.sinks import replace_window, throttle, upsert, write_partitions

@@ -46,13 +46,16 @@ def block_sums(
     no more than `block` rows are drawn row by row. Null y is left out before. Rows never meet: a task adds up weights for its
     rows, and rounds x groups numbers leave it."""
     df = missing_as_null(df, [y]).where(F.col(y).isNotNull()).select(*keys, id_col, F.col(y).cast("double").alias("_y"), *[o for o in order if o not in (*keys, id_col)])
-    df = numbered(df.withColumn("_key", F.struct(*keys)), "_key", order, of="_n")
-    length = F.when(F.col("_n") > block, F.lit(block)).otherwise(1)
-    ahead = along("_key").rowsBetween(0, block - 1)
-    cut = windowed(df, {"_s": F.when(F.col("_n") > block, F.sum("_y").over(ahead)).otherwise(F.col("_y"))}, ahead=block - 1, by="_key", size=size)
-    cut = cut.where(F.col("rn") <= F.col("_n") - length)
-    rate = F.col("_n") / (length * (F.col("_n") - length + 1))
-    rows = cut.select(*keys, F.col(id_col).cast("long").alias("_id"), "_s", length.cast("double").alias("_l"), rate.alias("_rate"))
+    if block == 1:
+        rows = df.select(*keys, F.col(id_col).cast("long").alias("_id"), F.col("_y").alias("_s"), F.lit(1.0).alias("_l"), F.lit(1.0).alias("_rate"))
+    else:
+        df = numbered(df.withColumn("_key", F.struct(*keys)), "_key", order, of="_n")
+        length = F.when(F.col("_n") > block, F.lit(block)).otherwise(1)
+        ahead = along("_key").rowsBetween(0, block - 1)
+        cut = windowed(df, {"_s": F.when(F.col("_n") > block, F.sum("_y").over(ahead)).otherwise(F.col("_y"))}, ahead=block - 1, by="_key", size=size)
+        cut = cut.where(F.col("rn") <= F.col("_n") - length)
+        rate = F.col("_n") / (length * (F.col("_n") - length + 1))
+        rows = cut.select(*keys, F.col(id_col).cast("long").alias("_id"), "_s", length.cast("double").alias("_l"), rate.alias("_rate"))
     of = [f.name for f in rows.schema.fields[: len(keys)]]
     every = np.arange(1, rounds + 1)
 
@@ -106,6 +109,13 @@ def block_bootstrap_effect(
     return out.withColumn("p", F.when(F.col("se") > 0, normal_two_sided(F.col("effect") / F.col("se")))).select(*cell, "effect", "se", "lo", "hi", "p", "n_strata", "n_chosen", "rounds")
 
 
+def bootstrap_mean(df: DataFrame, by: list[str], x: str, rounds: int = 400, seed: int = 7, id_col: str = "_id") -> DataFrame:
+    """Percentile interval (lo, mid, hi) of the mean over rounds in which every row counts as often as a Poisson draw from its id says. Rows never
+    meet, and only sums leave a task."""
+    means = block_sums(df, by, x, id_col, 1, rounds, seed, ()).withColumn("m", F.col("total") / F.when(F.col("weight") > 0, F.col("weight")))
+    return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.5)).alias("mid"), F.percentile("m", F.lit(0.975)).alias("hi"))
+
+
 def merged_ledger(ledger: DataFrame, resampled: DataFrame, keys: list[str]) -> DataFrame:
     """A ledger of effects with the resampled standard error and p where there are any (se_boot), on the keys of a cell."""
     r = resampled.select(*keys, F.col("se").alias("se_boot"), F.col("p").alias("_p"))

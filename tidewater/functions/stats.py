@@ -133,17 +133,3 @@ def cochran(effects: DataFrame, cell: list[str], e: str = "effect", se: str = "s
     g = effects.groupBy(*cell).agg(F.count("*").alias("k"), F.sum(w).alias("_w"), F.sum(w * F.col(e)).alias("_we"), F.sum(w * F.col(e) * F.col(e)).alias("_wee"))
     q = F.col("_wee") - F.col("_we") * F.col("_we") / F.col("_w")
     return g.withColumn("q", q).select(*cell, "k", "q", F.greatest(F.lit(0.0), 1 - (F.col("k") - 1) / F.when(F.col("q") > 0, F.col("q"))).alias("i2"))
-
-
-def bootstrap_mean(df: DataFrame, by: list[str], x: str, rounds: int = 400, seed: int = 7) -> DataFrame:
-    """Percentile interval of the mean from Poisson bootstrap weights: every row draws how often it counts in each round
-    from hashes, so rows never meet and only `rounds` sums of each group move."""
-    u = (F.pmod(F.xxhash64("_id", "round", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cuts, total = [], 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    rows = df.where(F.col(x).isNotNull()).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_k", weight)
-    means = rows.groupBy(*by, "round").agg((F.sum(F.col(x) * F.col("_k")) / F.sum("_k")).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.5)).alias("mid"), F.percentile("m", F.lit(0.975)).alias("hi"))

@@ -271,11 +271,11 @@ def volatility_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.col("sigma") >= F.lit(floor)).select("symbol", secs("ts").alias("t"), _r("sigma", 4).alias("sigma"), regime.alias("regime"))
 
 
-@query(f"{_HOURS} SELECT {_T}, coalesce(len(list_distinct(list(tick_count) OVER w)) <= 1 AND count(*) OVER w = 6, false) AS closed FROM bars WINDOW w AS {rows_before(6)}")
+@query(f"{_HOURS} SELECT {_T}, coalesce(len(list_distinct(list(close) OVER w)) <= 1 AND count(*) OVER w = 6, false) AS closed FROM bars WINDOW w AS {rows_before(6)}")
 def market_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six bars of one value: nothing moved."""
+    """Six bars of one close: nothing moved."""
     w = along().rowsBetween(-5, 0)
-    d = windowed(to_bars(ticks(spark, sf_dir), "1 hour"), {"closed": (F.size(F.array_distinct(F.collect_list("tick_count").over(w))) <= 1) & (F.count("*").over(w) == 6)}, back=5)
+    d = windowed(to_bars(ticks(spark, sf_dir), "1 hour"), {"closed": (F.size(F.array_distinct(F.collect_list("close").over(w))) <= 1) & (F.count("*").over(w) == 6)}, back=5)
     return d.select("symbol", secs("ts").alias("t"), "closed")
 
 

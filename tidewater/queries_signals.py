@@ -59,14 +59,10 @@ def rank_of_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed(daily(spark, sf_dir), {"pct": F.round(pct, 6)}, back=155).select("symbol", secs("ts").alias("t"), "pct")
 
 
-@query(f"""{_D}, l AS (SELECT *, lag(close) OVER {_PREV} AS p, last_value(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z, row_number() OVER {_PREV} AS r FROM daily)
-SELECT {_T}, CASE WHEN r = 1 THEN z ELSE p END AS rolled FROM l""")
+@query(f"""{_D} SELECT {_T}, lag(close) OVER {_PREV} AS rolled FROM daily""")
 def wrapped_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shift by one row that wraps: the first row gets the last row's value."""
-    d = numbered(daily(spark, sf_dir))
-    ends = d.groupBy("symbol").agg(F.max_by("close", "rn").alias("z"))
-    d = same_series(windowed(d, {"p": lag("close")}, back=1), ends, ["symbol"])
-    return d.select("symbol", secs("ts").alias("t"), F.when(F.col("rn") == 0, F.col("z")).otherwise(F.col("p")).alias("rolled"))
+    """A shift by one row. The first row has no value: a wrap to the last row would look ahead."""
+    return windowed(daily(spark, sf_dir), {"rolled": lag("close")}, back=1).select("symbol", secs("ts").alias("t"), "rolled")
 
 
 @query(f"""{_D}, r AS (SELECT *, ln(close / lag(close) OVER {_PREV}) AS r FROM daily) SELECT {_T}, round(sqrt(CASE WHEN count(r) OVER w = 8 THEN sum(r * r) OVER w END), 6) AS fwd_rv

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.market import ohlc
+from .snapshot import publish_latest
 
 
 def read_ticks(spark: SparkSession, path: str, schema: str, files_at_once: int = 1) -> DataFrame:
@@ -82,6 +83,5 @@ def oco_orders(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def write_latest(df: DataFrame, path: str, checkpoint: str):
-    """Keeps the latest state as one table, replaced in each batch."""
-    replace = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    return df.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
+    """Keeps the latest state as a table that readers always see whole: see tidewater.streaming.snapshot."""
+    return publish_latest(df, path, checkpoint)
