@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, words_of
@@ -161,14 +161,18 @@ def train(texts: list[list[str]], langs: list[str], seed: int = 8, words_each: i
 
 
 def fit_languages(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_each: int = TRAINING_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", words_each: int = TRAINING_WORDS) -> Crf:
-    """Trained on a bounded sample of documents outside the held-out fold, chosen by a hash of the id."""
+    """Trained on documents outside the held-out fold: docs_each at most of each language, chosen by a hash of id and
+    text. Rows that repeat both count once, so no language is lost or crowded out by an id on many rows."""
     known = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("_id"), folds) != held_out))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = known.withColumn("_h", F.xxhash64("_id", "text"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang", "_h").agg(F.lit(1)).groupBy("lang").count().collect()}
     if not counts:
         return train([], [])
     slots = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, max(1, n // docs_each))])
-    # about docs_each documents of each language: those whose hash falls in one slot of n // docs_each
-    some = known.where(F.pmod(F.xxhash64("_id"), slots[F.col("lang")]) == 0).orderBy(F.xxhash64("_id", F.lit("crf")), "_id", "text").limit(docs_each * len(counts)).select("text", "lang").toPandas()
+    # one slot of n // docs_each holds about docs_each different rows of a language; those go to its window
+    some = known.where(F.pmod(F.xxhash64("_h", F.lit("slot")), slots[F.col("lang")]) == 0).dropDuplicates(["lang", "_h"])
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("_h", F.lit("crf")), "_h")
+    some = some.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= docs_each).orderBy(F.xxhash64("_h", F.lit("crf")), "lang", "text").select("text", "lang").toPandas()
     return train([tokens_of(t) for t in some["text"]], some["lang"].tolist(), words_each=words_each)
 
 

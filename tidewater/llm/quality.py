@@ -146,13 +146,13 @@ def fold(id_: Column, folds: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(text, y): labelled rows outside the held-out fold, `rows` ids of them at most, chosen by a hash of the id. Rows
-    that repeat an id and its text count once."""
+    """(text, y): labelled rows outside the held-out fold, `rows` of them at most, chosen by a hash of the id. Of rows that
+    repeat an id one counts, chosen by a hash of the text, so an id on many rows takes no more than its place."""
     some = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("_id"), folds) != held_out)).distinct()
     chosen = some.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(label)), "_id", "y").limit(rows)
     # at most `rows` ids: fit to be broadcast
     found = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
-    return found.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_id", "_h", "y"]).select("text", "y")
+    return found.groupBy("_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y")
 
 
 def unlabelled(docs: DataFrame, folds: int, held_out: int, rows: int, id_col: str, text_col: str) -> DataFrame:
