@@ -167,3 +167,16 @@ def test_clocks_and_seams_and_coverage(spark):
     (s,) = seams(spark.createDataFrame(bars), 6 * 3600).collect()
     assert (s.before, s.after) == (1, 2) and s.month == pd.Timestamp("2024-02-01") and s.first_close > s.last_close and s.jump_bps > 0
     assert seams(spark.createDataFrame(bars).where("source = 1"), 6 * 3600).count() == 0
+
+
+def test_features_do_not_look_ahead(spark):
+    from tidewater.plans.features import FEATURES, feature_frame
+
+    r = np.random.default_rng(8)
+    n = 150
+    close = 100 + r.normal(0, 1, n).cumsum()
+    d = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2024-01-01", periods=n, freq="30min"), "open": close, "high": close + 1, "low": close - 1, "close": close})
+    args = ((1, 3, 12, 24), (60, 24), (24, 20), (12, 3), (60, 24))
+    whole, part = (feature_frame(spark.createDataFrame(x), *args).toPandas().sort_values("rn").reset_index(drop=True) for x in (d, d.head(100)))
+    assert np.allclose(whole.head(100)[list(FEATURES)].astype(float), part[list(FEATURES)].astype(float), equal_nan=True)
+    assert np.isclose(whole.ret_c.iloc[-1], close[-1] / close[-13] - 1) and whole[list(FEATURES)].iloc[-1].notna().all()

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .operators.ordered import along, numbered, windowed
 from .operators.resample import to_bars
+from .plans.features import FEATURES, feature_frame
 from .plans.impulses import new_extremes, once
 from .plans.ledger import METRICS, aftermath, ledger
-from .registry import TICKS, bars_sql, query
+from .queries_windows import _ewm_sql
+from .registry import TICKS, bars_sql, query, secs
 from .sources.market import table, ticks
 
 _HORIZONS = (2, 4, 8, 16)
@@ -66,3 +68,31 @@ def state_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("anchor"), F.when(F.col("o_orderkey") % 7 < 3, 8).otherwise(16).alias("h"), (F.month(ts) % 3).alias("state"), F.floor(F.year(ts) / 2).alias("block"), (F.weekday(ts) >= 5).alias("session"), F.col("o_totalprice").alias("y"), ts.alias("ts"), F.col("o_orderkey").alias("id"))
     out = ledger(o, ["anchor", "h"], "state", "block", "session", "y", F.greatest(F.lit(1), F.bround(F.col("h") / 4)), order=("ts", "id"))
     return out.select("anchor", "h", "state", "n_in", "n_out", F.round("effect", 2).alias("effect"), F.round("se", 2).alias("se"), "n_blocks", F.round("i2", 4).alias("i2"), "loo_ok")
+
+
+_W = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+_FRAME = f"""WITH RECURSIVE {TICKS}, {bars_sql('1 hour')}, p AS (SELECT symbol, ts, open, high, low, close, row_number() OVER o - 1 AS rn, lag(close) OVER o AS pc, lag(close, 3) OVER o AS c3, lag(close, 12) OVER o AS c12, lag(close, 24) OVER o AS c24,
+ CASE WHEN count(*) OVER r >= 20 THEN max(high) OVER r END AS hi, CASE WHEN count(*) OVER r >= 20 THEN min(low) OVER r END AS lo, hour(ts) * 60 + minute(ts) AS mod FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts), r AS {_W.format(23)}),
+q AS MATERIALIZED (SELECT *, close - pc AS d, close / nullif(pc, 0) - 1 AS r, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr FROM p), qd AS (SELECT * FROM q WHERE d IS NOT NULL),
+{_ewm_sql('close', '(2.0 / 21)', 'q', 'e1')}, {_ewm_sql('close', '(2.0 / 51)', 'q', 'e2')}, {_ewm_sql('close', '(2.0 / 201)', 'q', 'e3')}, {_ewm_sql('tr', '(1.0 / 14)', 'q', 'e4')}, {_ewm_sql('greatest(d, 0)', '(1.0 / 14)', 'qd', 'e5')}, {_ewm_sql('greatest(-d, 0)', '(1.0 / 14)', 'qd', 'e6')},
+{_ewm_sql('close', '(2.0 / 13)', 'q', 'e7')}, {_ewm_sql('close', '(2.0 / 27)', 'q', 'e8')}, mm AS (SELECT e7.symbol, e7.ts, e7.y - e8.y AS m FROM e7 JOIN e8 USING (symbol, ts)), {_ewm_sql('m', '(2.0 / 10)', 'mm', 'e9')},
+u AS (SELECT q.*, e1.y AS ef, e2.y AS es, e3.y AS et, e4.y AS atr, e5.y AS ag, e6.y AS al, mm.m, e9.y AS sig, coalesce(d > 0, false) AS up FROM q JOIN e1 USING (symbol, ts) JOIN e2 USING (symbol, ts) JOIN e3 USING (symbol, ts) JOIN e4 USING (symbol, ts) LEFT JOIN e5 USING (symbol, ts) LEFT JOIN e6 USING (symbol, ts) JOIN mm USING (symbol, ts) JOIN e9 USING (symbol, ts)),
+v AS (SELECT *, rn - max(CASE WHEN turned THEN rn END) OVER (PARTITION BY symbol ORDER BY rn) + 1 AS run FROM (SELECT *, coalesce(up <> lag(up) OVER (PARTITION BY symbol ORDER BY rn), true) AS turned FROM u)),
+k AS (SELECT *, list(atr) OVER k AS la, CASE WHEN count(r) OVER {_W.format(11)} = 12 THEN sqrt(sum(r * r) OVER {_W.format(11)}) END AS rv_long, CASE WHEN count(r) OVER {_W.format(2)} = 3 THEN sqrt(sum(r * r) OVER {_W.format(2)}) END AS rv_short, CASE WHEN count(r) OVER {_W.format(119)} >= 24 THEN avg(abs(r)) OVER {_W.format(119)} END AS mean,
+ first_value(CASE WHEN mod >= 420 AND mod < 780 THEN close END IGNORE NULLS) OVER y AS lo_open, last_value(CASE WHEN mod >= 420 AND mod < 780 THEN close END IGNORE NULLS) OVER y AS lo_last, max(high) FILTER (mod >= 810 AND mod < 840) OVER y AS top, min(low) FILTER (mod >= 810 AND mod < 840) OVER y AS bottom,
+ avg(abs(r)) OVER (PARTITION BY symbol, mod ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS usual FROM v WINDOW k AS {_W.format(119)}, y AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT symbol, epoch_us(ts) // 1000000 AS t, {{}} FROM k"""
+_VALUES = {
+    "ret_a": "close / nullif(pc, 0) - 1", "ret_b": "close / nullif(c3, 0) - 1", "ret_c": "close / nullif(c12, 0) - 1", "ret_d": "close / nullif(c24, 0) - 1", "ema_f_gap": "(close - ef) / nullif(atr, 0)", "ema_s_gap": "(close - es) / nullif(atr, 0)", "trend": "sign(ef - es)::DOUBLE + sign(es - et)",
+    "atr": "atr", "atr_pct": "CASE WHEN len(la) >= 24 THEN (len(list_filter(la, lambda e: e < atr)) + (len(list_filter(la, lambda e: e = atr)) + 1) / 2.0) / len(la) END", "atr_norm": "atr / nullif(close, 0)", "rsi": "100 - 100 / (1 + ag / nullif(al, 0))", "macd_hist": "(m - sig) / nullif(atr, 0)",
+    "range_pos": "(close - lo) / nullif(hi - lo, 0)", "streak": "CASE WHEN d > 0 THEN run WHEN d < 0 THEN -run ELSE 0 END", "dist_hi_atr": "(hi - close) / nullif(atr, 0)", "dist_lo_atr": "(close - lo) / nullif(atr, 0)", "session": "(mod >= 420)::INT + (mod >= 720)::INT + (mod >= 1020)::INT", "dow": "(isodow(ts) - 1)::INT", "mod": "mod::INT",
+    "london_drift_atr": "(lo_last - lo_open) / nullif(atr, 0)", "box_width_atr": "(top - bottom) / nullif(atr, 0)", "box_pos": "(close - bottom) / nullif(top - bottom, 0)", "rv_long": "rv_long", "rv_short": "rv_short", "season": "usual / nullif(mean, 0)",
+}
+_WHOLE = ("streak", "session", "dow", "mod")
+
+
+@query(_FRAME.format(", ".join(f"{_VALUES[n]} AS {n}" if n in _WHOLE else f"round({_VALUES[n]}, 4)::DOUBLE AS {n}" for n in FEATURES)))
+def monitor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature frame of hourly bars."""
+    f = feature_frame(to_bars(ticks(spark, sf_dir), "1 hour"), (1, 3, 12, 24), (120, 24), (24, 20), (12, 3), (120, 24))
+    return f.select("symbol", secs("ts").alias("t"), *[n if n in _WHOLE else F.round(n, 4).alias(n) for n in FEATURES])
