@@ -58,7 +58,7 @@ def _bracket_sql(stop_first: bool) -> str:
     return f"""{_D}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM daily), e AS (SELECT * FROM n),
 m AS (SELECT e.symbol, e.rn AS id, e.close AS price, b.rn, b.close, {hit} AS hit FROM e JOIN n b ON b.symbol = e.symbol AND b.rn > e.rn AND b.rn <= e.rn + 30),
 g AS (SELECT symbol, id, min(rn) FILTER (hit IS NOT NULL) AS x, arg_min(hit, rn) FILTER (hit IS NOT NULL) AS hit, max(rn) AS last, arg_max(close, rn) AS close, any_value(price) AS price FROM m GROUP BY 1, 2)
-SELECT symbol, id, coalesce(hit, 'timeout') AS outcome, coalesce(x, last) AS exit_rn, round(CASE hit WHEN 'stop' THEN -1.0 WHEN 'target' THEN 2.0 ELSE (close - price) / 20000 END, 4)::DOUBLE AS made FROM g"""
+SELECT e.symbol AS symbol, e.rn AS id, coalesce(hit, 'timeout') AS outcome, coalesce(x, last) AS exit_rn, round(CASE hit WHEN 'stop' THEN -1.0 WHEN 'target' THEN 2.0 ELSE (g.close - price) / 20000 END, 4)::DOUBLE AS made FROM e LEFT JOIN g ON g.symbol = e.symbol AND g.id = e.rn"""
 
 
 def _brackets(spark: SparkSession, sf_dir: str, stop_first: bool) -> DataFrame:
