@@ -95,7 +95,7 @@ def test_codec_equals_the_library(spark, monkeypatch):
     r = random.Random(2)
     parts = ["a", "the", " ", "  ", "\n", "é", "日本", "\x00", "<|endoftext|>", "'s", "12", " ", "😀", "ing", "к", "ا", "!!"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 50))) for _ in range(300)]
-    texts += ["ab" * 4000, "a" * 9000, "日本語" * 900, "".join(r.choice("abcdefgh") for _ in range(3000)), "", None, "word " * 30_000]
+    texts += ["ab" * 1000, "a" * 2000, "日本語" * 300, "".join(r.choice("abcdefgh") for _ in range(500)), "", None, "word " * 30_000]
     expected = [library.encode_ordinary(t or "") for t in texts]
     docs = table(spark, texts)
     coded = bpe_sql.encode(docs)
@@ -113,7 +113,7 @@ def test_codec_equals_the_library(spark, monkeypatch):
     for part in codec.parts(texts[:6]):
         for (k, _), tokens in zip(part, codec.encode([w for _, w in part])):
             got[k] += tokens.tolist()
-    assert got == expected[:60]
+    assert got == expected[:6]
 
 
 def test_codec_contracts_one_place_where_a_lower_pair_can_follow(spark, tmp_path, monkeypatch):
