@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import same_series
+
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None = None, by: list[str] | None = None, direction: str = "backward", tolerance: float | None = None, strict: bool = False, tie: str | None = None, bucket: str = "day", prefix: str = "r_") -> DataFrame:
     """Each left row with the nearest right row before (backward), after (forward) or around it (nearest).
 
     Rows at the same time match unless strict. tie orders right rows of one time: backward takes the last of them,
     forward the first; of two equally near rows nearest takes the earlier. Columns of the right row get the prefix and
-    are null without a match within tolerance seconds. on and right_on are timestamps."""
+    are null without a match within tolerance seconds. on and right_on are timestamps; a left row without one matches
+    nothing. A null key is a key."""
     by, right_on = by or [], right_on or on
     values = [c for c in right.columns if c not in by]
     right_row = F.struct(F.col(right_on).alias("_t"), *([F.col(tie).alias("_tie")] if tie else []), *[F.col(c).alias(f"{prefix}{c}") for c in values])
@@ -25,7 +28,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None =
     both = ones.unionByName(r, allowMissingColumns=True).withColumn("_b", F.date_trunc(bucket, "_at"))
     key = [*by, "_b"]
     ends = r.withColumn("_b", F.date_trunc(bucket, "_at")).groupBy(*key).agg(F.max_by("_r", F.struct("_at", "_order")).alias("_last"), F.min_by("_r", F.struct("_at", "_order")).alias("_first"))
-    spans = both.select(*key).distinct().join(ends, key, "left") if by else both.select("_b").distinct().join(ends, key, "left")
+    spans = same_series(both.select(*key).distinct(), ends, key, "left")
     over_buckets = Window.partitionBy(*by).orderBy("_b")
     spans = spans.withColumn("_prev", F.last("_last", True).over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("_next", F.first("_first", True).over(over_buckets.rowsBetween(1, Window.unboundedFollowing))).select(*key, "_prev", "_next")
@@ -36,11 +39,11 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None =
     ahead = Window.partitionBy(*key).orderBy("_at", ahead_rank, "_order").rowsBetween(0, Window.unboundedFollowing)
     both = both.withColumn("_back", F.last("_r", True).over(back)) if direction != "forward" else both
     both = both.withColumn("_ahead", F.first("_r", True).over(ahead)) if direction != "backward" else both
-    found = both.where("_l is not null").join(spans, key, "left")
+    found = same_series(both.where("_l is not null"), spans, key, "left")
     before = F.coalesce("_back", "_prev") if direction != "forward" else None
     after = F.coalesce("_ahead", "_next") if direction != "backward" else None
     pick = before if direction == "backward" else after if direction == "forward" else _nearer(before, after)
-    found = found.withColumn("_m", pick)
+    found = found.withColumn("_m", F.when(F.col("_at").isNotNull(), pick))
     if tolerance is not None:
         found = found.withColumn("_m", F.when(_gap(F.col("_m")) <= int(tolerance * 1_000_000), F.col("_m")))
     return found.select("_l.*", *[F.col(f"_m.{prefix}{c}") for c in values])
