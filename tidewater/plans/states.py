@@ -72,6 +72,12 @@ def release_bars(bars: DataFrame, schedule: DataFrame, seconds: int, by: str = "
     return met.groupBy(by, "kind", "when").agg(F.max_by(F.struct("rn", "ts"), "rn").alias("_b")).select(by, "_b.rn", "_b.ts")
 
 
+def lengthened(b: DataFrame, by: str = "symbol") -> DataFrame:
+    """Numbered bars, and after each series its last bar once more, so that the last one has a next one."""
+    ends = b.groupBy(by).agg(F.max_by(F.struct("ts", "rn", "open", "high", "low", "close"), "rn").alias("_e")).select(by, F.col("_e.ts"), (F.col("_e.rn") + 1).alias("rn"), "_e.open", "_e.high", "_e.low", "_e.close")
+    return b.select(by, "ts", "rn", "open", "high", "low", "close").unionByName(ends)
+
+
 def anchors(bars: DataFrame, schedule: DataFrame, rows: int = 4, deviations: float = 2.0, sigma: int = 480, gap: int = 16, lookback: int = 96, seconds: int = 900, by: str = "symbol") -> DataFrame:
     """by, anchor, rn, dir: where a study looks from. A1 every `rows`-th bar, A2 impulses, A3 new extremes of `lookback` bars (the last bar of a series among them), A4 starts of sessions,
     A5 bars in which a release falls (once for each release), A6 bars at which an impulse was resolved (once for each impulse). dir is 0 where an anchor has none.
@@ -82,10 +88,7 @@ def anchors(bars: DataFrame, schedule: DataFrame, rows: int = 4, deviations: flo
     none = F.lit(0)
     found = impulses(b, rows, sigma, deviations, by)
     kept = cooldown(found.withColumn("rn", F.col("last")).select(by, "rn", "ts", "dir"), gap, by)
-    # a row after the last bar, so that the last bar has a next one
-    ends = b.groupBy(by).agg(F.max_by(F.struct("ts", "rn", "open", "high", "low", "close"), "rn").alias("_e")).select(by, F.col("_e.ts"), (F.col("_e.rn") + 1).alias("rn"), "_e.open", "_e.high", "_e.low", "_e.close")
-    longer = b.select(by, "ts", "rn", "open", "high", "low", "close").unionByName(ends)
-    extremes = new_extremes(longer, F.lit(True), lookback, gap, by)
+    extremes = new_extremes(lengthened(b, by), F.lit(True), lookback, gap, by)
     starts = b.where((F.minute("ts") == 0) & F.hour("ts").isin(*SESSION_STARTS))
     parts = [
         put(b.where(F.col("rn") % rows == 0), "A1", "rn", none), put(kept, "A2", "rn", F.col("dir")), put(extremes, "A3", "rn", F.col("side")), put(starts, "A4", "rn", none),
