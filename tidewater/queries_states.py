@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.resample import to_bars
+from .plans.higher import higher_context
 from .plans.states import FIFTHS, STATES, THIRDS, WEIGHTS, anchors, context_patterns, market_states
 from .queries_trades import _IMPULSES
 from .queries_windows import _ewm_sql
@@ -77,3 +78,17 @@ SELECT symbol, t, {', '.join(WEIGHTS)}, {' + '.join(f'{k} * {n}' for n, k in WEI
 def patterns_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six patterns of each bar and where they lean."""
     return context_patterns(to_bars(ticks(spark, sf_dir), "15 minutes"), reach=96, box_rows=1).select("symbol", secs("ts").alias("t"), *WEIGHTS, "lean")
+
+
+_HIGHER = f"""WITH RECURSIVE {TICKS}, {bars_sql('15 minutes')}, h AS MATERIALIZED (SELECT symbol, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS ts, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close FROM bars GROUP BY 1, 2),
+q AS (SELECT *, close - lag(close) OVER o AS d, close / nullif(lag(close, 6) OVER o, 0) - 1 AS ret, CASE WHEN count(*) OVER {_W.format(19)} = 20 THEN max(high) OVER {_W.format(19)} END AS hi, CASE WHEN count(*) OVER {_W.format(19)} = 20 THEN min(low) OVER {_W.format(19)} END AS lo, lead(ts) OVER o AS next FROM h WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+qd AS (SELECT * FROM q WHERE d IS NOT NULL), {_ewm_sql('close', '(2.0 / 21)', 'q', 'ea')}, {_ewm_sql('close', '(2.0 / 51)', 'q', 'eb')}, {_ewm_sql('greatest(d, 0)', '(1.0 / 14)', 'qd', 'eg')}, {_ewm_sql('greatest(-d, 0)', '(1.0 / 14)', 'qd', 'el')},
+c AS (SELECT q.symbol, next AS since, (ea.y - lag(ea.y, 3) OVER (PARTITION BY q.symbol ORDER BY q.ts)) / 0.1 AS slope, 100 - 100 / (1 + eg.y / nullif(el.y, 0)) AS rsi, ret, (close - lo) / nullif(hi - lo, 0) AS place, (close > eb.y)::INT AS above FROM q JOIN ea USING (symbol, ts) JOIN eb USING (symbol, ts) LEFT JOIN eg USING (symbol, ts) LEFT JOIN el USING (symbol, ts))
+SELECT b.symbol, epoch_us(b.ts) // 1000000 AS t, round(b.close, 4) AS close, round(slope, 4) AS h1_slope, round(rsi, 4) AS h1_rsi, round(ret, 4) AS h1_ret, round(place, 4) AS h1_place, above AS h1_above FROM bars b ASOF LEFT JOIN (SELECT * FROM c WHERE since IS NOT NULL) c ON b.symbol = c.symbol AND b.ts >= c.since"""
+
+
+@query(_HIGHER)
+def hour_behind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a quarter of an hour with what the last closed hour says."""
+    b = higher_context(to_bars(ticks(spark, sf_dir), "15 minutes").select("symbol", "ts", "open", "high", "low", "close"))
+    return b.select("symbol", secs("ts").alias("t"), *[F.round(c, 4).alias(c) for c in ("close", "h1_slope", "h1_rsi", "h1_ret", "h1_place")], "h1_above")
