@@ -123,3 +123,21 @@ def test_no_look_ahead(spark, bars):
     cols = ["symbol", "ts", "sma", "rsi", "adx", "macd_hist", "stoch_d", "bb_upper"]
     whole, part = (add_indicators(spark.createDataFrame(x), wanted).select(*cols).toPandas() for x in (bars, bars[bars.ts < "2024-03-01"]))
     same(whole[whole.ts < "2024-03-01"], part[cols])
+
+
+def test_asof_looks_ahead_in_one_pass(spark):
+    """A frame that ends with the partition costs the square of a day's rows; results are those of plain loops."""
+    r = np.random.default_rng(5)
+    at = lambda n: pd.Timestamp("2024-01-01") + pd.to_timedelta(r.integers(0, 60, n) * 3600, unit="s")
+    left, right = pd.DataFrame({"i": range(40), "ts": at(40)}), pd.DataFrame({"ts": at(25), "seq": r.permutation(25)})
+    a, b = spark.createDataFrame(left), spark.createDataFrame(right)
+    for direction in ("forward", "nearest"):
+        for strict in (False, True):
+            found = asof_join(a, b, "ts", direction=direction, strict=strict, tie="seq")
+            assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+            got = {x.i: x.r_seq for x in found.collect()}
+            for x in left.itertuples():
+                after = min([(y.ts, y.seq) for y in right.itertuples() if (y.ts > x.ts if strict else y.ts >= x.ts)], default=None)
+                before = max([(y.ts, y.seq) for y in right.itertuples() if (y.ts < x.ts if strict else y.ts <= x.ts)], default=None)
+                pick = after if direction == "forward" or before is None else before if after is None or x.ts - before[0] <= after[0] - x.ts else after
+                assert got[x.i] == (pick and pick[1])

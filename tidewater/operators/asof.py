@@ -31,14 +31,16 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None =
     spans = same_series(both.select(*key).distinct(), ends, key, "left")
     over_buckets = Window.partitionBy(*by).orderBy("_b")
     spans = spans.withColumn("_prev", F.last("_last", True).over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)))
-    spans = spans.withColumn("_next", F.first("_first", True).over(over_buckets.rowsBetween(1, Window.unboundedFollowing))).select(*key, "_prev", "_next")
+    # what follows is looked up backwards: a frame that ends with the partition is gone through anew for every row
+    backwards = Window.partitionBy(*by).orderBy(F.desc("_b"))
+    spans = spans.withColumn("_next", F.last("_first", True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))).select(*key, "_prev", "_next")
     # at one time: backward wants right rows before left ones, forward after them; strict the other way round
     is_left = F.col("_l").isNotNull().cast("int")
     back_rank, ahead_rank = (is_left, -is_left) if not strict else (-is_left, is_left)
     back = Window.partitionBy(*key).orderBy("_at", back_rank, "_order").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*key).orderBy("_at", ahead_rank, "_order").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*key).orderBy(F.desc("_at"), -ahead_rank, F.desc("_order")).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_back", F.last("_r", True).over(back)) if direction != "forward" else both
-    both = both.withColumn("_ahead", F.first("_r", True).over(ahead)) if direction != "backward" else both
+    both = both.withColumn("_ahead", F.last("_r", True).over(ahead)) if direction != "backward" else both
     found = same_series(both.where("_l is not null"), spans, key, "left")
     before = F.coalesce("_back", "_prev") if direction != "forward" else None
     after = F.coalesce("_ahead", "_next") if direction != "backward" else None
