@@ -141,3 +141,11 @@ def test_asof_looks_ahead_in_one_pass(spark):
                 before = max([(y.ts, y.seq) for y in right.itertuples() if (y.ts < x.ts if strict else y.ts <= x.ts)], default=None)
                 pick = after if direction == "forward" or before is None else before if after is None or x.ts - before[0] <= after[0] - x.ts else after
                 assert got[x.i] == (pick and pick[1])
+
+
+def test_a_wrapped_shift_starts_with_the_last_value(spark, tmp_path):
+    from tidewater.queries_signals import wrapped_shift
+
+    day = pd.to_datetime(pd.Series(["2000-01-01", "2000-01-02", "2000-01-03", "2000-01-01"])).astype("datetime64[us]")
+    pd.DataFrame({"o_orderkey": range(4), "o_orderpriority": ["a", "a", "a", "b"], "o_orderdate": day, "o_totalprice": [1.0, 2.0, 3.0, 7.0]}).to_parquet(tmp_path / "orders.parquet")
+    assert [x.rolled for x in wrapped_shift(spark, str(tmp_path)).orderBy("symbol", "t").collect()] == [3.0, 1.0, 2.0, 7.0]
