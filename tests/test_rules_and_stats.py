@@ -103,3 +103,15 @@ def test_profit_factor_needs_wins_and_losses(spark):
     d = spark.createDataFrame([("lost", -2.0, -1.0, 1.0), ("lost", -4.0, -3.0, 1.0), ("won", 2.0, 3.0, 1.0), ("both", 6.0, 7.0, 1.0), ("both", -3.0, -2.0, 1.0)], "symbol string, net_pnl double, gross_pnl double, cost double")
     m = {x.symbol: x for x in trade_metrics(d, ["symbol"]).collect()}
     assert [m[k].profit_factor for k in ("lost", "won", "both")] == [None, None, 2.0] and m["lost"].win_rate == 0 and m["lost"].avg_win is None
+
+
+def test_places_are_rounded_as_sql_rounds(spark):
+    import duckdb
+
+    from tidewater.registry import r4_scaled
+
+    r = np.random.default_rng(3)
+    x = [2.26285, -2.26285, 0.00005, 1e12 + 0.5, *(r.integers(-(10**6), 10**6, 500) / 10_000 + 0.00005).tolist(), None, math.nan]
+    got = [y.r for y in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").select("i", r4_scaled("x").alias("r")).orderBy("i").collect()]
+    want = [y[0] for y in duckdb.execute("SELECT round(x, 4) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [x]).fetchall()]
+    assert got[:-1] == want[:-1] and math.isnan(got[-1])
