@@ -115,3 +115,21 @@ def test_boosting_finds_what_a_line_cannot(spark):
     stopped = fit_boosted(train.withColumn("y", (F.rand(1) > 0.5).cast("int")), ["noise"], "y", "id", trees=12, patience=2, least=200)
     assert len(stopped.trees) < 12
     assert np.isclose(Boosted(["a"], [[0.0]], 0.3).raw(np.array([[0], [2]])), 0.3).all()
+
+
+def test_drawn_paths_are_made_once(spark):
+    """Paths over several chunks equal plain sums, and are drawn once, not for every use."""
+    r = np.random.default_rng(6)
+    net = r.normal(0.5, 4, 45).round(2)
+    d = spark.createDataFrame([(None, float(x), i, i) for i, x in enumerate(net)], "symbol string, net_pnl double, exit_ts long, entry_i long")
+    d = d.withColumn("exit_ts", F.timestamp_seconds("exit_ts"))
+    m = monte_carlo(d, rounds=9, equity=100.0, size=7)
+    assert "explode" not in m._jdf.queryExecution().toString()
+    finals, falls = [], []
+    for k in range(1, 10):
+        e = 100 + np.cumsum([net[int(drawn(i, k, 0) * 45)] for i in range(45)])
+        finals.append(e[-1])
+        falls.append(-100 * (e / np.maximum(np.maximum.accumulate(e), 100) - 1).min())
+    got = m.first()
+    want = [*np.quantile(finals, [0.05, 0.5, 0.95]), np.mean(np.array(finals) > 100), *np.quantile(falls, [0.5, 0.95])]
+    assert np.allclose([got[c] for c in ("final_p05", "final_p50", "final_p95", "prob_profit", "fall_p50", "fall_p95")], want)

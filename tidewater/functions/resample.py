@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.operators.ordered import along, missing_as_null, numbered, running, same_series, windowed
+from tidewater.operators.ordered import along, missing_as_null, numbered, same_series, windowed
+from tidewater.shared import Written
 
 from .stats import normal_two_sided
 
@@ -122,19 +123,28 @@ def merged_ledger(ledger: DataFrame, resampled: DataFrame, keys: list[str]) -> D
     return same_series(ledger, r, keys, "left").withColumn("p", F.coalesce("_p", "p")).drop("_p")
 
 
-def monte_carlo(trades: DataFrame, by: str = "symbol", net: str = "net_pnl", rounds: int = 2000, equity: float = 1000.0, least: int = 5, seed: int = 0, order: tuple[str, ...] = ("exit_ts", "entry_i")) -> DataFrame:
+def monte_carlo(trades: DataFrame, by: str = "symbol", net: str = "net_pnl", rounds: int = 2000, equity: float = 1000.0, least: int = 5, seed: int = 0, order: tuple[str, ...] = ("exit_ts", "entry_i"), size: int = 5_000) -> DataFrame:
     """Trades of each run drawn anew, as many as there are, in each round: p05, p50 and p95 of the final equity, the share
     of rounds with a profit, and p50 and p95 of the largest drawdown in percent. Runs of fewer than `least` trades are left
-    out. A drawn path is itself a series, so long runs are summed up in chunks."""
+    out. A drawn path is itself a series, so long runs are summed up in chunks, short ones, as sums of many rows one by one lose places. The drawn paths are written in the shared folder."""
     t = numbered(trades.select(by, net, *order), by, order, of="_n").where(F.col("_n") >= least)
     slots = t.select(by, "_n", F.col("rn").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     pick = F.floor(drawn(F.col("_slot"), F.col("round"), seed) * F.col("_n")).cast("long")
-    paths = same_series(slots.withColumn("rn", pick), t.select(by, "rn", net), [by, "rn"]).select(F.struct(by, "round").alias("_path"), F.col("_slot").alias("rn"), net)
-    paths = running(paths, {"_sum": ("sum", net)}, "_path").withColumn("_e", F.col("_sum") + equity)
-    paths = running(paths, {"_top": ("max", "_e")}, "_path")
-    ends = paths.groupBy("_path").agg(F.max_by("_e", "rn").alias("final"), (-F.min(F.col("_e") / F.greatest("_top", F.lit(equity)) - 1) * 100).alias("fall"))
+    drawn_net = missing_as_null(t.select(by, "rn", net), [net]).hint("shuffle_hash")
+    paths = same_series(slots.withColumn("rn", pick), drawn_net, [by, "rn"]).select(by, "round", F.floor(F.col("_slot") / size).alias("_chunk"), "_slot", net)
+    # drawn and sorted once: sums and tops within chunks; what came before a chunk is added later, over its last row alone
+    w = Window.partitionBy(by, "round", "_chunk").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    paths = paths.withColumn("_sum", F.coalesce(F.sum(net).over(w), F.lit(0.0))).withColumn("_most", F.max("_sum").over(w)).drop(net)
+    paths = Written(trades.sparkSession).table(paths, keep=True)
+    earlier = Window.partitionBy(by, "round").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = paths.groupBy(by, "round", "_chunk").agg(F.max_by("_sum", "_slot").alias("_all"), F.max("_sum").alias("_high"))
+    chunks = chunks.withColumn("_start", F.coalesce(F.sum("_all").over(earlier), F.lit(0.0))).withColumn("_top", F.max(F.col("_high") + F.col("_start") + equity).over(earlier))
+    paths = same_series(paths, chunks.drop("_all", "_high"), [by, "round", "_chunk"])
+    level = lambda c: F.col(c) + F.col("_start") + equity
+    fall = -F.min(level("_sum") / F.greatest(level("_most"), "_top", F.lit(equity)) - 1) * 100
+    ends = paths.groupBy(by, "round").agg(F.max_by(level("_sum"), "_slot").alias("final"), fall.alias("fall"))
     quantile = lambda c, q: F.percentile(c, F.lit(q))
-    return ends.groupBy(F.col(f"_path.{by}").alias(by)).agg(
+    return ends.groupBy(by).agg(
         quantile("final", 0.05).alias("final_p05"), quantile("final", 0.5).alias("final_p50"), quantile("final", 0.95).alias("final_p95"), F.avg((F.col("final") > equity).cast("double")).alias("prob_profit"),
         quantile("fall", 0.5).alias("fall_p50"), quantile("fall", 0.95).alias("fall_p95"), F.count("*").alias("rounds"),
     )
