@@ -133,3 +133,16 @@ def test_drawn_paths_are_made_once(spark):
     got = m.first()
     want = [*np.quantile(finals, [0.05, 0.5, 0.95]), np.mean(np.array(finals) > 100), *np.quantile(falls, [0.5, 0.95])]
     assert np.allclose([got[c] for c in ("final_p05", "final_p50", "final_p95", "prob_profit", "fall_p50", "fall_p95")], want)
+
+
+def test_boosting_passes_over_combinations_of_bins(spark, monkeypatch):
+    from tidewater.functions import models
+
+    r = np.random.default_rng(9)
+    x = r.integers(0, 3, 3000)
+    d = spark.createDataFrame(pd.DataFrame({"i": range(3000), "x": np.where(x == 2, np.nan, x), "t": ((x == 1) ^ (r.random(3000) < 0.1)).astype(int)}))
+    seen, summed = [], models._summed
+    monkeypatch.setattr(models, "_summed", lambda df, *a: (seen.append(df.count()), summed(df, *a))[1])
+    m = fit_boosted(d, ["x"], "t", "i", trees=1, depth=1)
+    assert seen == [12]  # three bins, two labels, two parts
+    assert m.trees[0][0][0] is not None
