@@ -29,19 +29,23 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import LONGEST, apart, vocabulary_path
+from .bpe import LONGEST, stands_apart, vocabulary_path
 from .common import bounded_batches, give_back, settle
 
-#: Parts of texts whose ids a Python worker remembers (about 75 MB). Most parts come once; those that come often come soon.
+#: Parts of texts whose ids a Python worker remembers (about 75 MB). Most parts come once,
+#: so they are remembered in two generations, and those that come again pass into the newer one.
 REMEMBER = 300_000
+#: Pre-tokens that the library remembers (about 20 MB), and new parts that it gets as one text.
+PRETOKENS, TOGETHER = 100_000, 50
 #: Rounds of multiplicative weights, further rounds for what lags behind at the end, the weights' rate, and the share of
 #: the largest price that a configuration needs.
 ROUNDS, LAST, RATE, CLOSE = 20, 10, 8.0, 0.99
@@ -51,37 +55,74 @@ ROUNDS, LAST, RATE, CLOSE = 20, 10, 8.0, 0.99
 
 
 class Encoder:
-    """Ids of whole texts, as the library gives them. Parts that stand alone between spaces are remembered."""
+    """Ids of whole texts, as the library gives them. Parts that stand alone between spaces are remembered; new ones are
+    encoded many in one text, which the bytes of their tokens take apart again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if resize := getattr(self.library.model, "_resize_cache", None):  # the library's own name for it
+            resize(PRETOKENS)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        #: Bytes of each token: a letter of the vocabulary stands for a byte.
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # of the generation before
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [None if any(s in t for s in self.special) else apart(t) for t in texts]
-        whole = iter(self.encode([t if parts is None else parts[0] for t, parts in zip(texts, cut)]))
-        if len(self.known) > REMEMBER:
-            for p in list(islice(self.known, REMEMBER // 2)):  # the older half
-                del self.known[p]
-        new = list({p for parts in cut if parts for p in parts[1:]}.difference(self.known))
-        known = self.known
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part with a space before it. Pre-tokens do not cross the spaces between parts (stands_apart)."""
+        ids = b"".join(self.encode([" " + " ".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]))
+        ends = np.cumsum(self.sizes[np.frombuffer(ids, dtype=np.uint32)])
+        wanted = np.cumsum([len(p.encode()) + 1 for p in parts])
+        at = np.searchsorted(ends, wanted)
+        if not len(ends) or ends[-1] != wanted[-1] or (ends[at] != wanted).any():  # tokens that do not stand for bytes
+            return self.encode([" " + p for p in parts])
+        stops = (4 * (at + 1)).tolist()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]
+
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of each of these different parts, remembered or new."""
+        if len(self.known) > REMEMBER // 2:
+            self.known, self.older = {}, self.known
+        got = list(map(self.known.get, parts))
+        missing = [p for p, ids in zip(parts, got) if ids is None]
+        found = {p: ids for p in missing if (ids := self.older.get(p)) is not None}
+        new = [p for p in missing if p not in found]
         for at in range(0, len(new), 20_000):
             these = new[at : at + 20_000]
-            known.update(zip(these, self.encode([" " + p for p in these])))
-        for parts in cut:
+            found.update(zip(these, self.encode_parts(these)))
+        self.known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
+        return [found[p] if ids is None else ids for p, ids in zip(parts, got)]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        cut = [not any(s in t for s in self.special) and stands_apart(t) for t in texts]
+        whole = iter(self.encode([t[: t.find(" ")] if c and " " in t else t for t, c in zip(texts, cut)]))
+        split = pc.split_pattern(pa.array([t for t, c in zip(texts, cut) if c], pa.large_string()), pattern=" ")
+        words = split.values.dictionary_encode()
+        ids = self.ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.array([len(x) for x in ids], dtype=np.int64) // 4
+        flat, start = np.frombuffer(b"".join(ids), dtype=np.uint32), np.cumsum(size) - size
+        word, bounds = words.indices.to_numpy(), split.offsets.to_numpy()
+        size, start = size[word], start[word]
+        size[bounds[:-1]] = 0  # the first part has no space before it
+        end = np.cumsum(size)
+        out = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)]
+        stops = iter(end[bounds[1:] - 1].tolist())
+        at = 0
+        for c in cut:
             first = next(whole)
-            yield first if parts is None else first + b"".join(map(known.__getitem__, parts[1:]))
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
+            if c:
+                before, at = at, next(stops)
+                first += out[before:at].tobytes()
+            yield first
 
 
 @lru_cache(2)
@@ -108,7 +149,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str
                     rows.append((key, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), task, seen[b - a]))
                     seen[b - a] += 1
             yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "task", "number"]).astype({"_id": batch["_id"].dtype})
-        encode.known.clear()
+        encode.known, encode.older = {}, {}
         give_back()
 
     # ids go as strings: pandas would turn a column of longs with nulls into floats
