@@ -146,3 +146,29 @@ def test_boosting_passes_over_combinations_of_bins(spark, monkeypatch):
     m = fit_boosted(d, ["x"], "t", "i", trees=1, depth=1)
     assert seen == [12]  # three bins, two labels, two parts
     assert m.trees[0][0][0] is not None
+
+
+def test_draws_take_little_disk_and_few_at_a_time(spark, monkeypatch):
+    """Paths of several chunks, drawn in several turns from several blocks, equal plain sums; no table has a row for each draw."""
+    from tidewater.functions import resample
+
+    monkeypatch.setattr(resample, "BLOCK", 16)
+    monkeypatch.setattr(resample, "WIDE", 3)
+    monkeypatch.setattr(resample, "AT_ONCE", 300)
+    r = np.random.default_rng(7)
+    series = {None: r.normal(0.5, 4, 100).round(2), "b": r.normal(-0.2, 4, 9).round(2), "few": r.normal(0, 1, 4)}
+    rows = [(s, None if i == 3 else float("nan") if i == 5 else float(x), i, i) for s, net in series.items() for i, x in enumerate(net)]
+    d = spark.createDataFrame(rows, "symbol string, net_pnl double, exit_ts long, entry_i long").withColumn("exit_ts", F.timestamp_seconds("exit_ts"))
+    made, plain = [], resample.Written.table
+    monkeypatch.setattr(resample.Written, "table", lambda self, df, keep=False: (made.append((out := plain(self, df, keep)).count()), out)[1])
+    got = {x.symbol: x for x in monte_carlo(d, rounds=8, equity=100.0, size=7).collect()}
+    assert set(got) == {None, "b"} and max(made) <= 3 * 5 + 3 and len(made) == 2 + 2 * 4
+    for s, net in list(series.items())[:2]:
+        net[[3, 5]] = 0
+        n, finals, falls = len(net), [], []
+        for k in range(1, 9):
+            e = 100 + np.cumsum([net[int(drawn(i, k, 0) * n)] for i in range(n)])
+            finals.append(e[-1])
+            falls.append(-100 * (e / np.maximum(np.maximum.accumulate(e), 100) - 1).min())
+        want = [*np.quantile(finals, [0.05, 0.5, 0.95]), np.mean(np.array(finals) > 100), *np.quantile(falls, [0.5, 0.95])]
+        assert got[s].rounds == 8 and np.allclose([got[s][c] for c in ("final_p05", "final_p50", "final_p95", "prob_profit", "fall_p50", "fall_p95")], want)

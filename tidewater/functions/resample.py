@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,9 @@ from .stats import normal_two_sided
 P = 2147483647
 #: Largest weight of a row in a round; with a mean of at most 1 a larger one has a probability below 1e-6.
 MOST = 9
+#: Trades of a block, whose places fit two bytes; chunks of `size` draws that are one unit of work; draws at a time.
+BLOCK, WIDE, AT_ONCE = 1 << 16, 50, 16_000_000
+_UNIT = ["_n", "_chunk", "_from", "_to", "_block"]
 
 
 def drawn(row, round_, seed: int):
@@ -123,26 +127,116 @@ def merged_ledger(ledger: DataFrame, resampled: DataFrame, keys: list[str]) -> D
     return same_series(ledger, r, keys, "left").withColumn("p", F.coalesce("_p", "p")).drop("_p")
 
 
+def _picks(n: int, chunk: int, wide: int, first: int, last: int, seed: int) -> np.ndarray:
+    """Numbers of the trades that a chunk of a path of n draws, for each of the rounds."""
+    slots, rounds = np.arange(chunk * wide, min(n, (chunk + 1) * wide)), np.arange(first, last + 1)
+    return np.floor(drawn(slots[None], rounds[:, None], seed) * n).astype(np.int64).ravel()
+
+
+def _by_block(block: np.ndarray) -> np.ndarray:
+    """The order in which draws of the same block stand together."""
+    return np.argsort(block.astype(np.uint16) if block.max(initial=0) < 1 << 16 else block, kind="stable")
+
+
+def _running(net: np.ndarray, size: int) -> np.ndarray:
+    """Running sums along rows: within `size` places, and over the sums of these."""
+    rounds, m = net.shape
+    inner = np.pad(net, ((0, 0), (0, -m % size))).reshape(rounds, -1, size).cumsum(axis=2)
+    before = np.pad(inner[:, :, -1].cumsum(axis=1), ((0, 0), (1, 0)))[:, :-1]
+    return (inner + before[:, :, None]).reshape(rounds, -1)[:, :m]
+
+
+def _fall(level: np.ndarray, top: float) -> np.ndarray:
+    """The largest drawdown of each row in percent, from its own tops and one before."""
+    return -np.fmin.reduce(level / np.maximum(np.maximum.accumulate(level, axis=1), top) - 1, axis=1) * 100
+
+
+def _drawn_paths(blocks: DataFrame, sizes: DataFrame, by: str, first: int, last: int, seed: int, equity: float, size: int, wide: int, tasks: int) -> DataFrame:
+    """by, round, _chunk, _all and _high: the sum of a chunk's trades and its largest running sum; of a path of one chunk
+    its largest fall, of others the chunk's trades."""
+    length = BLOCK
+    kind = f"`{by}` {sizes.schema[by].dataType.simpleString()}"
+    unit = f"{kind}, _n long, _chunk long, _from long, _to long, _block long"
+    each = F.greatest(F.lit(1), F.floor(wide / F.least("_n", F.lit(wide))))  # rounds of short paths go together
+    units = sizes.select(by, "_n", each.alias("_each"), F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / wide))).alias("_chunk"))
+    units = units.select(by, "_n", "_chunk", "_each", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"), "_each")).alias("_from"))
+    units = units.select(by, "_n", "_chunk", "_from", F.least(F.col("_from") + F.col("_each") - 1, F.lit(last)).alias("_to")).repartition(tasks, by, "_chunk", "_from")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, n, chunk, a, b in batch.itertuples(index=False, name=None):
+                picks = _picks(n, chunk, wide, a, b, seed)
+                picks = picks[_by_block(picks // length)]
+                pieces = np.split(picks, np.flatnonzero(np.diff(picks // length)) + 1)
+                yield pd.DataFrame([(key, n, chunk, a, b, p[0] // length, (p % length).astype("<u2").tobytes()) for p in pieces], columns=[by, *_UNIT, "_at"])
+
+    def answer(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        nets = np.asarray(block["_nets"].iloc[0], dtype="<f8")
+        return asked.drop(columns="_at").assign(_got=[nets[np.frombuffer(at, "<u2")].tobytes() for at in asked["_at"]])
+
+    def lay(got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values("_block")
+        n, chunk, a, b = (int(got[c].iloc[0]) for c in _UNIT[:4])
+        at = _by_block(_picks(n, chunk, wide, a, b, seed) // length)
+        net = np.empty(len(at))
+        net[at] = np.frombuffer(b"".join(got["_got"]), "<f8")
+        net = net.reshape(b - a + 1, -1)
+        sums, whole = _running(net, size), n <= wide
+        out = pd.DataFrame({"round": np.arange(a, b + 1), "_chunk": chunk, "_all": sums[:, -1], "_high": sums.max(axis=1)})
+        out["_fall"] = _fall(sums + equity, equity) if whole else None
+        out["_nets"] = None if whole else [x.tobytes() for x in net]
+        out.insert(0, by, [got[by].iloc[0]] * len(out))
+        return out
+
+    asked = units.mapInPandas(ask, f"{unit}, _at binary")
+    got = asked.groupBy(by, "_block").cogroup(blocks.select(by, "_block", "_nets").groupBy(by, "_block")).applyInPandas(answer, f"{unit}, _got binary")
+    return got.groupBy(by, "_chunk", "_from").applyInPandas(lay, f"{kind}, round long, _chunk long, _all double, _high double, _fall double, _nets binary")
+
+
+def _path_ends(paths: DataFrame, by: str, equity: float, size: int) -> DataFrame:
+    """by, round, final, fall: of each path its last level and its largest fall. What came before a chunk is known from
+    the sums of chunks."""
+    earlier = Window.partitionBy(by, "round").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = paths.where("_nets is not null").select(by, "round", "_chunk", "_all", "_high").withColumn("_start", F.coalesce(F.sum("_all").over(earlier), F.lit(0.0)))
+    chunks = chunks.withColumn("_top", F.coalesce(F.max(F.col("_high") + F.col("_start") + equity).over(earlier), F.lit(equity))).drop("_all", "_high")
+    long = same_series(paths.where("_nets is not null").select(by, "round", "_chunk", "_nets"), F.broadcast(chunks), [by, "round", "_chunk"])  # a row for each WIDE * size draws
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, k, chunk, nets, start, top in batch[[by, "round", "_chunk", "_nets", "_start", "_top"]].itertuples(index=False, name=None):
+                level = _running(np.frombuffer(nets, "<f8")[None], size) + start + equity
+                rows.append((key, k, chunk, level[0, -1], _fall(level, max(top, equity))[0]))
+            yield pd.DataFrame(rows, columns=[by, "round", "_chunk", "_level", "_fall"])
+
+    parts = long.mapInPandas(follow, f"`{by}` {paths.schema[by].dataType.simpleString()}, round long, _chunk long, _level double, _fall double")
+    ends = parts.groupBy(by, "round").agg(F.max_by("_level", "_chunk").alias("final"), F.max("_fall").alias("fall"))
+    return ends.unionByName(paths.where("_nets is null").select(by, "round", (F.col("_all") + equity).alias("final"), F.col("_fall").alias("fall")))
+
+
 def monte_carlo(trades: DataFrame, by: str = "symbol", net: str = "net_pnl", rounds: int = 2000, equity: float = 1000.0, least: int = 5, seed: int = 0, order: tuple[str, ...] = ("exit_ts", "entry_i"), size: int = 5_000) -> DataFrame:
     """Trades of each run drawn anew, as many as there are, in each round: p05, p50 and p95 of the final equity, the share
     of rounds with a profit, and p50 and p95 of the largest drawdown in percent. Runs of fewer than `least` trades are left
-    out. A drawn path is itself a series, so long runs are summed up in chunks, short ones, as sums of many rows one by one lose places. The drawn paths are written in the shared folder."""
-    t = numbered(trades.select(by, net, *order), by, order, of="_n").where(F.col("_n") >= least)
-    slots = t.select(by, "_n", F.col("rn").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    pick = F.floor(drawn(F.col("_slot"), F.col("round"), seed) * F.col("_n")).cast("long")
-    drawn_net = missing_as_null(t.select(by, "rn", net), [net]).hint("shuffle_hash")
-    paths = same_series(slots.withColumn("rn", pick), drawn_net, [by, "rn"]).select(by, "round", F.floor(F.col("_slot") / size).alias("_chunk"), "_slot", net)
-    # drawn and sorted once: sums and tops within chunks; what came before a chunk is added later, over its last row alone
-    w = Window.partitionBy(by, "round", "_chunk").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    paths = paths.withColumn("_sum", F.coalesce(F.sum(net).over(w), F.lit(0.0))).withColumn("_most", F.max("_sum").over(w)).drop(net)
-    paths = Written(trades.sparkSession).table(paths, keep=True)
-    earlier = Window.partitionBy(by, "round").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = paths.groupBy(by, "round", "_chunk").agg(F.max_by("_sum", "_slot").alias("_all"), F.max("_sum").alias("_high"))
-    chunks = chunks.withColumn("_start", F.coalesce(F.sum("_all").over(earlier), F.lit(0.0))).withColumn("_top", F.max(F.col("_high") + F.col("_start") + equity).over(earlier))
-    paths = same_series(paths, chunks.drop("_all", "_high"), [by, "round", "_chunk"])
-    level = lambda c: F.col(c) + F.col("_start") + equity
-    fall = -F.min(level("_sum") / F.greatest(level("_most"), "_top", F.lit(equity)) - 1) * 100
-    ends = paths.groupBy(by, "round").agg(F.max_by(level("_sum"), "_slot").alias("final"), fall.alias("fall"))
+    out. A drawn path is itself a series: one of more than WIDE * size trades is gone through in chunks, and sums are made of sums of `size` rows, as sums of many rows one by one lose places.
+
+    Draws are no rows. A task draws a chunk of a path, asks each block of trades for those at some of its places, in two
+    bytes each, and gets their values. Rounds are drawn AT_ONCE draws at a time (a round at least), and their tables and
+    shuffle files deleted, so that disk does not grow with the number of rounds."""
+    spark, wide = trades.sparkSession, WIDE * size
+    written, kept = Written(spark), Written(spark)
+    t = missing_as_null(numbered(trades.select(by, net, *order), by, order, of="_n").where(F.col("_n") >= least), [net])
+    t = t.select(by, "_n", F.floor(F.col("rn") / BLOCK).alias("_block"), F.col("rn").alias("_rn"), F.coalesce(F.col(net).cast("double"), F.lit(0.0)).alias("_net"))
+    blocks = written.table(t.groupBy(by, "_n", "_block").agg(F.sort_array(F.collect_list(F.struct("_rn", "_net")))["_net"].alias("_nets")))
+    sizes = written.table(blocks.groupBy(by).agg(F.first("_n").alias("_n")))
+    total, ends = sizes.agg(F.sum("_n")).first()[0] or 0, []
+    some = max(1, AT_ONCE // max(1, total))
+    for first in range(1, rounds + 1, some):
+        turn, last = Written(spark), min(rounds, first + some - 1)
+        paths = turn.table(_drawn_paths(blocks, sizes, by, first, last, seed, equity, size, wide, max(1, total * (last - first + 1) // (2 * wide))))
+        ends.append(kept.table(_path_ends(paths, by, equity, size), keep=True))
+        turn.drop()
+    written.drop()
+    ends = reduce(DataFrame.unionByName, ends)
     quantile = lambda c, q: F.percentile(c, F.lit(q))
     return ends.groupBy(by).agg(
         quantile("final", 0.05).alias("final_p05"), quantile("final", 0.5).alias("final_p50"), quantile("final", 0.95).alias("final_p95"), F.avg((F.col("final") > equity).cast("double")).alias("prob_profit"),
